@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, pii
+from . import line_dedup, pii, url_filter
 from .common import read
 
 WS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.col("__verdict").alias("verdict"), F.round("__score", 6).alias("score"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     done = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1)
@@ -35,5 +40,5 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(pii.span_text(F.col("spans")), 256).alias("base_sha256"), pii.span_text(F.col("all_spans")).alias("spans"))
 
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op7_pii": op7_pii}
+QUERIES = {"op1_url_filter": op1_url_filter, "op4_line_dedup": op4_line_dedup, "op7_pii": op7_pii}
 ORACLES = {"op4_line_dedup": OP4_SQL}
