@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media, minhash, packing, pii, url_filter
+from . import bpe, hnsw, line_dedup, media, minhash, packing, pii, url_filter
 from .common import read
 
 WS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
@@ -52,9 +52,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(pii.span_text(F.col("spans")), 256).alias("base_sha256"), pii.span_text(F.col("all_spans")).alias("spans"))
 
 
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op3_minhash": op3_minhash, "op4_line_dedup": op4_line_dedup, "op5_bpe": op5_bpe, "op6_packing": op6_packing, "op7_pii": op7_pii, "op9_media": op9_media}
+QUERIES = {"op1_url_filter": op1_url_filter, "op3_minhash": op3_minhash, "op4_line_dedup": op4_line_dedup, "op5_bpe": op5_bpe, "op6_packing": op6_packing, "op7_pii": op7_pii, "op8_hnsw": op8_hnsw, "op9_media": op9_media}
 ORACLES = {"op4_line_dedup": OP4_SQL}
