@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, line_dedup, media, minhash, packing, pii, url_filter
+from . import bpe, hnsw, line_dedup, media, minhash, packing, pii, toxicity, url_filter
 from .common import read
 
 WS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
@@ -16,6 +16,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.col("__verdict").alias("verdict"), F.round("__score", 6).alias("score"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
@@ -60,5 +68,5 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op3_minhash": op3_minhash, "op4_line_dedup": op4_line_dedup, "op5_bpe": op5_bpe, "op6_packing": op6_packing, "op7_pii": op7_pii, "op8_hnsw": op8_hnsw, "op9_media": op9_media}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op4_line_dedup": op4_line_dedup, "op5_bpe": op5_bpe, "op6_packing": op6_packing, "op7_pii": op7_pii, "op8_hnsw": op8_hnsw, "op9_media": op9_media}
 ORACLES = {"op4_line_dedup": OP4_SQL}
