@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, line_dedup, media, minhash, packing, pii, toxicity, url_filter
+from . import bpe, hnsw, line_dedup, media, minhash, packing, pii, token_counts, toxicity, url_filter
 from .common import read
 
 WS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
@@ -68,5 +68,15 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op4_line_dedup": op4_line_dedup, "op5_bpe": op5_bpe, "op6_packing": op6_packing, "op7_pii": op7_pii, "op8_hnsw": op8_hnsw, "op9_media": op9_media}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op4_line_dedup": op4_line_dedup, "op5_bpe": op5_bpe, "op6_packing": op6_packing, "op7_pii": op7_pii, "op8_hnsw": op8_hnsw, "op9_media": op9_media, "op10_token_counts": op10_token_counts, "pipeline": pipeline}
 ORACLES = {"op4_line_dedup": OP4_SQL}
