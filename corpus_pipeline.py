@@ -45,9 +45,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
     ship(spark)
-    found = minhash.near_duplicates(docs, percent=PERCENT).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    return kept
+    return minhash.drop_copies(docs, percent=PERCENT)
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,7 +100,7 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, node (16 bytes that stand for the set; null for an empty set), a and b (bands)."""
+    """Of docs (doc_id, text, text_hash): doc_id, n_shingles, node (16 bytes that stand for the set; null for an empty set), a and b (bands), text_hash."""
 
     def run(batches):
         import pyarrow as pa
@@ -120,12 +120,13 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([m and m[:M] for m in made], pa.list_(pa.int64())),
                         pa.array([m and m[M:] for m in made], pa.list_(pa.int64())),
+                        batch.column(2),
                     ],
-                    ["doc_id", "n_shingles", "node", "a", "b"],
+                    ["doc_id", "n_shingles", "node", "a", "b", "text_hash"],
                 )
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, node binary, a array<long>, b array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, node binary, a array<long>, b array<long>, text_hash long")
 
 
 def _sharing(nodes: DataFrame, column: str) -> DataFrame:
@@ -219,17 +220,20 @@ def _prefix_pairs(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # a set of n keeps its n - ceil(.85 n) + 1 rarest tokens
     prefix = all_tokens.join(often, F.col("t") == F.col("t2")).where("f > 1 or n = 1").withColumn("r", rank)
     skipped = all_tokens.join(often, F.col("t") == F.col("t2")).where("f = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone")).withColumnRenamed("node", "node2")
-    prefix = prefix.join(skipped, F.col("node") == F.col("node2"), "left").where(F.col("r") + F.coalesce("alone", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    held = work_table(prefix.join(hot, "node").select("t", "node", "n", "root"), "prefixes")
+    prefix = prefix.join(skipped, F.col("node") == F.col("node2"), "left").withColumn("pos", F.col("r") + F.coalesce("alone", F.lit(0)) - 1)
+    prefix = prefix.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
+    held = work_table(prefix.join(hot, "node").select("t", "node", "n", "root", "pos"), "prefixes")
     split = held.groupBy("t").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("t")
     x = held.join(split, "t", "left_semi")
-    y = x.select("t", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("root2"))
-    return x.join(y, "t").where((F.col("node") < F.col("v")) & (F.col("root") != F.col("root2")) & _like(percent, "n", "m")).select(F.col("node").alias("u"), "v").distinct()
+    y = x.select("t", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("root2"), F.col("pos").alias("pos2"))
+    # what follows the first common token in either order bounds what they can share; later common tokens only bound it more
+    reach = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2")) * (100 + percent) >= percent * (F.col("n") + F.col("m"))
+    return x.join(y, "t").where((F.col("node") < F.col("v")) & (F.col("root") != F.col("root2")) & _like(percent, "n", "m") & reach).select(F.col("node").alias("u"), "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row. Made for thresholds of .8 and more."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """doc_id, n_shingles, component_id, kept and text_hash of every row. Made for thresholds of .8 and more."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
     signed = work_table(signatures(docs, words), "signatures")
     first = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
     classes = work_table(first.select("node", "doc_id", "n", "a", "b"), "classes")
@@ -268,6 +272,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = work_table(named.join(least, F.col("root") == F.col("root2")).select(F.col("node").alias("node2"), "component"), "components")
     owners = classes.select(F.col("node").alias("node3"), F.col("doc_id").alias("first_id")).join(linked, F.col("node3") == F.col("node2"), "left")
     owners = work_table(owners.select("node3", F.coalesce("component", "first_id").alias("component")), "owners")
-    out = signed.select("doc_id", "n_shingles", "node").join(owners, F.col("node") == F.col("node3"), "left")
+    out = signed.select("doc_id", "n_shingles", "node", "text_hash").join(owners, F.col("node") == F.col("node3"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """docs without the rows that are not kept. A row is known by its id and text; rows that repeat both stay or go together."""
+    gone = near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_hash")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__gone")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__gone_hash"))
+    return docs.join(gone, same, "left_anti")

@@ -27,10 +27,14 @@ from pyspark.sql import functions as F
 
 from .common import work_table
 
-WINDOW, UNIT, END_ID, MEMORY = 2048, 512, 1, 1_000_000
+WINDOW, UNIT, END_ID, MEMORY = 2048, 512, 1, 800_000
 #: Rounds whose token counts are summed in one task before the sums of such blocks are.
 ROUND_BLOCK = 1 << 14
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
+#: Letters whose lower case is one letter and that normalisation leaves alone, and signs that may close them (no apostrophe, and none that special tokens begin with).
+_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([!-&(-/:;=?@\\[-`{}~]*)")
+#: str.split() parts words at these too, but they are no blanks to the library.
+_NO_BLANKS = "\x1c\x1d\x1e\x1f"
 
 
 def default_path() -> str:
@@ -40,7 +44,12 @@ def default_path() -> str:
 
 
 class WordIds:
-    """Ids of texts by the tokenizers library, remembered by blank-separated chunk: its vocabulary drops blanks, and no token spans one."""
+    """Ids of texts by the tokenizers library, remembered by blank-separated chunk: its vocabulary drops blanks, and no token spans one.
+
+    The library splits letters from what follows them and reads them in lower case, so a chunk of letters and closing
+    punctuation is put together from both; the letters of many new chunks are encoded as one text, whose ids part
+    where a token ends a word.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,20 +57,48 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def _alone(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(got.ids, dtype="<u4").tobytes() for got in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _learn_stems(self, stems: list[str]) -> None:
+        for i in range(0, len(stems), 1000):
+            part = stems[i : i + 1000]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            made = [x.tobytes() for x in np.split(ids, cuts[:-1])] if len(cuts) == len(part) and cuts[-1] == len(ids) else self._alone(part)
+            self.stems.update(zip(part, made, strict=True))
+
+    def _learn(self, chunks: list[str]) -> None:
+        simple = [(c, m[1].lower(), m[2]) for c in chunks if (m := _SIMPLE.fullmatch(c))]
+        self._learn_stems(list({stem for _, stem, _ in simple if stem not in self.stems}))
+        marks = list({mark for _, _, mark in simple if mark})
+        closing = dict(zip(marks, self._alone(marks), strict=True)) | {"": b""}
+        for chunk, stem, mark in simple:
+            self.known[chunk] = self.stems[stem] + closing[mark]
+        rest = [c for c in chunks if c not in self.known]
+        for i in range(0, len(rest), 20_000):
+            self.known.update(zip(rest[i : i + 20_000], self._alone(rest[i : i + 20_000]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.known) > MEMORY:
             self.known.clear()
-        known = self.known
-        split = [_CHUNK.findall(t) for t in texts]
-        new = list({c for chunks in split for c in chunks if c not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for chunk, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(got.ids, dtype="<u4").tobytes()
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        if len(self.stems) > MEMORY:
+            self.stems.clear()
+        split = [_CHUNK.findall(t) if any(c in t for c in _NO_BLANKS) else t.split() for t in texts]
+        found = [list(map(self.known.get, chunks)) for chunks in split]
+        missing = [i for i, got in enumerate(found) if None in got]
+        if missing:
+            self._learn(list({c for i in missing for c, got in zip(split[i], found[i], strict=True) if got is None}))
+            for i in missing:
+                found[i] = list(map(self.known.__getitem__, split[i]))
+        return list(map(b"".join, found))
 
 
 _encoders: dict[str, WordIds] = {}

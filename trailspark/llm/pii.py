@@ -6,7 +6,7 @@ words on either side) *discloses* it by PMI(entity; term) / IC(entity), with pro
 corpus: 1 means that who reads the term knows the entity. Terms at or above ``min_disclosure`` with ``min_support``
 different contexts are treated like the entity itself in the documents that hold it.
 
-Counting is over distinct texts and distinct contexts, so that copies of one document prove nothing. Patterns are
+Contexts that are the same count once as support, so that copies of one document prove nothing. Patterns are
 possessive forms of those of the contract, with a start test, so that they match the same spans in linear time and
 without recursion. Offsets are code points, end exclusive.
 
@@ -17,7 +17,7 @@ Native: DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import row_key, work_table
@@ -126,38 +126,53 @@ def found_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return work_table(spans.select("__id", "__th", "spans", near.alias("contexts")), "pii-found")
 
 
+def _disclosure(both: str, n_term: str, n_entity: str, n_docs: int) -> Column:
+    """PMI(entity; term) / IC(entity)."""
+    n, both, term, entity = F.lit(float(n_docs)), *(F.col(c).cast("double") for c in (both, n_term, n_entity))
+    return F.when(entity < n, F.log(both * n / (term * entity)) / F.log(n / entity)).otherwise(0.0)
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", min_support: int = MIN_SUPPORT, min_disclosure: float = MIN_DISCLOSURE) -> DataFrame:
-    """(entity, term, disclosure): the terms that give an entity away. Copies of a text count once."""
-    contexts = found.select("__th", F.explode("contexts").alias("c")).select("__th", "c.entity", "c.near")
-    once = contexts.groupBy("entity", F.xxhash64("near").alias("ctx")).agg(F.min("near").alias("near"))
-    near = once.select("entity", F.explode(F.array_distinct("near")).alias("term"))
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_support)
-    pairs = work_table(pairs, "pii-pairs")
-    entity_n = contexts.groupBy("entity").agg(F.approx_count_distinct("__th", 0.02).alias("n_entity"))
-    terms = pairs.select("term").distinct()
+    """(entity, term, disclosure): the terms that give an entity away.
+
+    Probabilities are shares of documents; min_support counts different contexts, in which copies are one. A term is in
+    at least the documents where it stands near an entity, which bounds its disclosure from above: only pairs whose
+    bound reaches min_disclosure have their term counted in the whole corpus.
+    """
+    contexts = found.select(F.xxhash64("__id", "__th").alias("doc"), F.explode("contexts").alias("c")).select("doc", "c.entity", "c.near")
+    each = contexts.select("doc", "entity", F.xxhash64("near").alias("ctx"), F.explode(F.array_distinct("near")).alias("term"))
+    each = work_table(each, "pii-near")
+    n_docs = found.count()
+    count = lambda df, *by: df.distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    support = count(each.select("entity", "term", "ctx"), "entity", "term").where(F.col("n") >= min_support).select("entity", "term")
+    both = count(each.select("entity", "term", "doc"), "entity", "term").withColumnRenamed("n", "both")
+    n_entity = count(each.select("entity", "doc"), "entity").withColumnRenamed("n", "n_entity")
+    n_near = count(each.select("term", "doc"), "term").withColumnRenamed("n", "n_near")
+    pairs = both.join(support, ["entity", "term"]).join(n_entity, "entity").join(n_near, "term")
+    pairs = work_table(pairs.where(_disclosure("both", "n_near", "n_entity", n_docs) >= min_disclosure), "pii-pairs")
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
-    held = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__th"), F.explode(words).alias("term"))
-    # one sketch per term and task, so that a term of every document costs no more than a rare one
-    term_n = held.join(terms, "term", "left_semi").groupBy("term").agg(F.approx_count_distinct("__th", 0.02).alias("n_term"))
-    total = docs.select(F.approx_count_distinct(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 0.02).alias("n_docs"))
-    rated = pairs.join(entity_n, "entity").join(term_n, "term").join(F.broadcast(total))  # total is one row
-    # counts are estimates within 2 %, so none may fall below what was counted exactly
-    n = F.greatest(F.col("n_docs"), F.col("n_term"), F.col("n_entity"), F.col("both") + 1).cast("double")
-    term, entity = F.greatest("n_term", "both").cast("double"), F.greatest("n_entity", "both").cast("double")
-    ratio = F.log(F.col("both") * n / (term * entity)) / F.log(n / entity)
-    return rated.select("entity", "term", ratio.alias("disclosure")).where((F.col("disclosure") >= min_disclosure) & (n > entity))
+    # every term is counted, combined in each task, before the few wanted ones are picked: frequent terms make no rows
+    n_term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("held"))
+    rated = pairs.join(n_term, "term").withColumn("n_term", F.greatest("held", "n_near"))
+    return rated.select("entity", "term", _disclosure("both", "n_term", "n_entity", n_docs).alias("disclosure")).where(F.col("disclosure") >= min_disclosure)
 
 
 def term_spans(docs: DataFrame, found: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__id, __th, terms): the spans of disclosing terms in the documents that hold their entity."""
+    """(__id2, __th2, __found_terms): the spans of disclosing terms in the documents that hold their entity."""
     held = found.select("__id", "__th", F.explode(F.array_distinct(F.col("contexts.entity"))).alias("entity"))
     flagged = held.join(terms, "entity").groupBy("__id", "__th").agg(F.collect_set("term").alias("__terms"))
     flagged = work_table(flagged, "pii-flagged").withColumnsRenamed({"__id": "__id2", "__th": "__th2"})
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(*row_key(id_col, text_col), text.alias("__t"))
     hit = keyed.join(flagged, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__th") == F.col("__th2"))).dropDuplicates(["__id", "__th"])
-    spans = F.filter(matches(F.col("__t"), WORD, 4), lambda s: F.array_contains(F.col("__terms"), F.lower(s["value"])))
-    return hit.select(F.col("__id").alias("__id2"), F.col("__th").alias("__th2"), spans.alias("terms"))
+    # places by a running sum over the document's words: a document is one window, and only flagged ones come here
+    found_words, between = F.regexp_extract_all(F.col("__t"), F.lit(WORD), F.lit(0)), F.split("__t", WORD, -1)
+    words = hit.select("__id", "__th", "__terms", F.posexplode(F.arrays_zip(found_words.alias("w"), between.alias("gap"))).alias("at", "e"))
+    words = words.select("__id", "__th", "__terms", "at", F.col("e.w").alias("w"), F.length("e.gap").alias("gap"))
+    end = F.sum(F.col("gap") + F.coalesce(F.length("w"), F.lit(0))).over(Window.partitionBy("__id", "__th").orderBy("at"))
+    words = words.withColumn("end", end.cast("int")).where(F.array_contains("__terms", F.lower("w")))
+    span = F.struct(F.lit(4).alias("kind"), (F.col("end") - F.length("w")).alias("start"), F.col("end").alias("end"), F.col("w").alias("value"))
+    return words.groupBy(F.col("__id").alias("__id2"), F.col("__th").alias("__th2")).agg(F.collect_list(span).alias("__found_terms"))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
@@ -166,7 +181,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     terms = disclosing_terms(docs, found, text_col, **thresholds)
     extra = term_spans(docs, found, terms, id_col, text_col)
     joined = found.join(extra, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__th") == F.col("__th2")), "left")
-    return joined.select(F.col("__id").alias(id_col), "__th", "spans", all_spans(F.col("spans"), F.col("terms")).alias("all_spans"))
+    return joined.select(F.col("__id").alias(id_col), "__th", "spans", all_spans(F.col("spans"), F.col("__found_terms")).alias("all_spans"))
 
 
 def all_spans(spans: Column, terms: Column) -> Column:
@@ -193,6 +208,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **th
     extra = term_spans(docs, found, disclosing_terms(docs, found, text_col, **thresholds), id_col, text_col)
     named = docs.select("*", *row_key(id_col, text_col), base_spans(F.col(text_col)).alias("__spans"))
     joined = named.join(extra, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__th") == F.col("__th2")), "left")
-    spans = all_spans(F.col("__spans"), F.col("terms"))
+    spans = all_spans(F.col("__spans"), F.col("__found_terms"))
     new = F.when(F.size(spans) > 0, redacted(F.col(text_col), spans)).otherwise(F.col(text_col))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], new.alias("__redacted"))

@@ -25,7 +25,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85).drop("text_hash")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
