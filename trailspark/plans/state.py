@@ -1,11 +1,31 @@
-"""Cutting lineage in loops: a table in the folder of spark.checkpoint.dir, or a temporary one where that is unset."""
+"""Cutting lineage in loops: a table in the folder of spark.checkpoint.dir, or a temporary one where that is unset. Shipping the package."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors' Python, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    to = os.path.join(tempfile.mkdtemp(prefix="package-"), "trailspark_operators.zip")
+    with zipfile.ZipFile(to, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(top)))
+    spark.sparkContext.addPyFile(to)
+    _shipped.add(app)
 
 
 def cut(df: DataFrame) -> DataFrame:
