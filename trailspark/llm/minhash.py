@@ -12,7 +12,9 @@ From keys to links, without all pairs of a group:
 3. Buckets that still hold several components: in small ones (``SMALL``) members of different components are
    compared; the members of larger ones are compared where they share a token of their prefix under rarest-first
    order, which misses no pair at the threshold. Pairs already in one component are not compared again.
-Verification moves a class's set once per pair, in groups of ``GROUP`` around a pivot, streamed.
+Verification moves a class's set once per pair, in groups of ``GROUP`` around a pivot, streamed. Before that, a pair
+is ruled out where sizes or parity bitmaps alone show that it cannot reach the threshold: every bit in which the
+bitmaps differ is a shingle that only one of the sets has.
 
 Defined cases: a text with fewer words is one shingle, the whole sequence; a text without words, or null, has an
 empty set and links with nothing; repeated rows are one class; component_id is the smallest id, nulls aside (null if
@@ -32,7 +34,9 @@ from .common import drop_work, work_table
 from .graph import components
 
 WORDS, M, K = 5, 10, 3
-SMALL, GROUP, MEMORY = 16, 256, 1_000_000
+SMALL, GROUP, MEMORY = 16, 256, 400_000
+#: Parity bitmaps of 256 bits, as columns of 64.
+BITS = ("b0", "b1", "b2", "b3")
 #: Up to so many candidate classes (16 bytes each) are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -95,6 +99,12 @@ def bands(mins: np.ndarray) -> np.ndarray:
     return _final(total)
 
 
+def bitmap(mine: np.ndarray) -> list[int]:
+    """For each of 256 values of the low bits, whether an odd number of the set's hashes has it."""
+    odd = np.bincount((mine & np.uint64(64 * len(BITS) - 1)).astype(np.int64), minlength=64 * len(BITS)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint64).view(np.int64)
 
@@ -137,7 +147,7 @@ def _sharing(nodes: DataFrame, column: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, n, set) for wanted (node, doc_id)."""
+    """(node, n, set and its bitmap) for wanted (node, doc_id)."""
 
     def run(batches):
         import pyarrow as pa
@@ -149,16 +159,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 sets = [shingler.set_of(t.as_py()) for t in batch.column(1)]
                 nodes = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 keep = [i for i, node in enumerate(nodes) if node == batch.column(0)[i].as_py()]
+                bits = list(zip(*[bitmap(sets[i]) for i in keep], strict=True)) or [()] * len(BITS)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([nodes[i] for i in keep], pa.binary()), pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())],
-                    ["node", "n", "set"],
+                    [pa.array([nodes[i] for i in keep], pa.binary()), pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary()), *(pa.array(b, pa.int64()) for b in bits)],
+                    ["node", "n", "set", *BITS],
                 )
 
     few = wanted.count() <= BROADCAST_ROWS
     picked = wanted.select("node", F.col("doc_id").alias("id2"))
     picked = F.broadcast(picked) if few else picked
     joined = docs.join(picked, F.col("doc_id").eqNullSafe(F.col("id2")))
-    return joined.select("node", "text").mapInArrow(run, "node binary, n long, set binary").dropDuplicates(["node"])
+    return joined.select("node", "text").mapInArrow(run, "node binary, n long, set binary, " + ", ".join(f"{b} long" for b in BITS)).dropDuplicates(["node"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -200,6 +211,20 @@ def _like(percent: int, n: str, m: str):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def _differ(percent: int, n: str, m: str, other: str = "other_"):
+    """Whether so few bits differ that the similarity can reach the threshold: what only one set has is at least those."""
+    bits = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(other + b))) for b in BITS), F.lit(0))
+    return (F.col(n) + F.col(m) - bits) * (100 + percent) >= 2 * percent * (F.col(n) + F.col(m))
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (u, v) that neither sizes nor bitmaps rule out."""
+    one = sets.select(F.col("node").alias("u2"), "n", *BITS)
+    other = sets.select(F.col("node").alias("v2"), F.col("n").alias("m"), *(F.col(b).alias(f"other_{b}") for b in BITS))
+    both = pairs.join(one, F.col("u") == F.col("u2")).join(other, F.col("v") == F.col("v2"))
+    return both.where(_like(percent, "n", "m") & _differ(percent, "n", "m")).select("u", "v")
+
+
 def _prefix_pairs(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of hot nodes (node, root) in different components that share a token of both prefixes."""
 
@@ -222,13 +247,14 @@ def _prefix_pairs(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     skipped = all_tokens.join(often, F.col("t") == F.col("t2")).where("f = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone")).withColumnRenamed("node", "node2")
     prefix = prefix.join(skipped, F.col("node") == F.col("node2"), "left").withColumn("pos", F.col("r") + F.coalesce("alone", F.lit(0)) - 1)
     prefix = prefix.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
-    held = work_table(prefix.join(hot, "node").select("t", "node", "n", "root", "pos"), "prefixes")
+    marked = hot.join(sets.select("node", *BITS), "node")
+    held = work_table(prefix.join(marked, "node").select("t", "node", "n", "root", "pos", *BITS), "prefixes")
     split = held.groupBy("t").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("t")
     x = held.join(split, "t", "left_semi")
-    y = x.select("t", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("root2"), F.col("pos").alias("pos2"))
+    y = x.select("t", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("root2"), F.col("pos").alias("pos2"), *(F.col(b).alias(f"other_{b}") for b in BITS))
     # what follows the first common token in either order bounds what they can share; later common tokens only bound it more
     reach = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2")) * (100 + percent) >= percent * (F.col("n") + F.col("m"))
-    return x.join(y, "t").where((F.col("node") < F.col("v")) & (F.col("root") != F.col("root2")) & _like(percent, "n", "m") & reach).select(F.col("node").alias("u"), "v").distinct()
+    return x.join(y, "t").where((F.col("node") < F.col("v")) & (F.col("root") != F.col("root2")) & _like(percent, "n", "m") & reach & _differ(percent, "n", "m")).select(F.col("node").alias("u"), "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, words: int = WORDS) -> DataFrame:
@@ -246,10 +272,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = work_table(each.join(shared, F.col("key") == F.col("key2")).select("key", "node", "n", "size", "low"), "members")
     ids = classes.select("node", "doc_id").join(members.select("node").distinct(), "node", "left_semi")
     sets = work_table(_sets(docs, work_table(ids, "candidates"), words), "sets")
-    sizes = sets.select(F.col("node").alias("low2"), F.col("n").alias("low_n"))
-    pairs = members.where("node <> low").groupBy("low", "node").agg(F.min("n").alias("n"))
-    pairs = pairs.join(sizes, F.col("low") == F.col("low2")).where(_like(percent, "n", "low_n")).select(F.col("low").alias("u"), F.col("node").alias("v"))
-    pairs = work_table(pairs, "pairs")
+    pairs = members.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
+    pairs = work_table(_plausible(pairs, sets, percent), "pairs")
     links = _verify(pairs, sets, percent)
     roots = work_table(components(links), "roots").withColumnRenamed("node", "node2")
     rooted = members.join(roots, F.col("node") == F.col("node2"), "left").select("key", "node", "n", "size", F.coalesce("root", "node").alias("root"))
@@ -258,6 +282,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small = still.where(F.col("size") <= SMALL)
     other = small.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("root2"))
     more = small.join(other, "key").where((F.col("node") < F.col("v")) & (F.col("root") != F.col("root2")) & _like(percent, "n", "m")).select(F.col("node").alias("u"), "v")
+    more = _plausible(more.distinct(), sets, percent)
     hot = work_table(still.where(F.col("size") > SMALL).select("node", "root").distinct(), "hot")
     if not hot.isEmpty():
         more = more.union(_prefix_pairs(hot, sets, percent))
