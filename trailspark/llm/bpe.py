@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Remembered pre-tokens of one worker, and characters of text that are encoded together.
-MEMORY, BLOCK_CHARS = 1_000_000, 8_000_000
+MEMORY, BLOCK_CHARS = 300_000, 8_000_000
 
 
 def default_path() -> str:

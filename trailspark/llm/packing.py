@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import work_table
 
-WINDOW, UNIT, END_ID, MEMORY = 2048, 512, 1, 800_000
+WINDOW, UNIT, END_ID, MEMORY = 2048, 512, 1, 300_000
 #: Rounds whose token counts are summed in one task before the sums of such blocks are.
 ROUND_BLOCK = 1 << 14
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")

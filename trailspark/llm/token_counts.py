@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 MARK, UNKNOWN = "▁", 10.0
-MEMORY, BLOCK_WORDS = 1_000_000, 200_000
+MEMORY, BLOCK_WORDS = 400_000, 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 

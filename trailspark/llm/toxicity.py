@@ -31,7 +31,7 @@ MAX_DOCS, MAX_POSITIVE, MAX_NEGATIVE = 12_000, 600, 40_000
 MIN_SHARE = 0.01
 HARD_NEGATIVE = 1_000
 ORDER, DECAY, LANDMARKS, LONGEST = 3, 0.4, 80, 20
-MEMORY, BLOCK = 1_500_000, 4_000
+MEMORY, BLOCK = 400_000, 4_000
 _NOT_ALNUM = re.compile(r"[\W_]+")
 _SINGLES = re.compile(r"(?:(?<=\s)|^)(?:[^\W_][\s.\-_*]{1,2}){2,}[^\W_](?=\s|$)")
 
