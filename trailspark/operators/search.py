@@ -400,10 +400,10 @@ def find_code(ix: Index, starts: list[str], client: Client, beam: int = 3, steps
     return rows.withColumn("verdict", verdict), stop
 
 
-def backbone(edges: DataFrame, roots: DataFrame, evidence: DataFrame) -> DataFrame:
+def backbone(edges: DataFrame, roots: DataFrame, evidence: DataFrame, depth: int | None = None) -> DataFrame:
     """GR3: the nodes on a shortest path from a root to each evidence node; parents are the smallest, walked back hop by hop."""
     both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    tree = cut(graph.trace(both, roots)[0])
+    tree = cut(graph.trace(both, roots, depth)[0])
     kept = cut(roots.select("node").union(tree.join(evidence.select("node"), "node", "left_semi").select("node")).distinct())
     longest = tree.agg(F.max("hop")).first()[0] or 0
     for _ in range(longest):
@@ -437,7 +437,7 @@ def trace_workflow(ix: Index, starts: list[str], checks: list[str], client: Clie
     examined = F.count("p")
     status = F.when(F.count_if(F.col("p") >= yes) > 0, "evidence backed").when((F.count_if((F.col("p") > no) & (F.col("p") < yes)) > 0) | (examined < total), "unresolved").otherwise("gap to investigate")
     duties = each.groupBy("check").agg(status.alias("status"), F.count_if(F.col("p") >= yes).alias("evidence"), examined.alias("examined"), F.lit(total).alias("total"))
-    return duties, backbone(moves, roots, answers.where(F.col("p") >= yes).select("node").distinct())
+    return duties, backbone(moves, roots, answers.where(F.col("p") >= yes).select("node").distinct(), depth)
 
 
 def agent_search(ix: Index, hypotheses: dict[str, dict[str, str]], seeds: Seeds, client: Client, budget: int, rounds: int = 2, best: int = 4, following: int = 8, high: float = 0.7, low: float = 0.35) -> tuple[DataFrame, DataFrame]:
