@@ -96,6 +96,18 @@ def test_pii_disclosing_terms(spark):
     assert hidden[0] == "word0 [TERM] [TERM] person [TERM] [EMAIL] about thing0" and hidden[30] == "plain text number 30 about person" and hidden[200] == "copied note zebra9 [EMAIL]"
 
 
+def test_pii_rare_entities_have_terms(spark):
+    rows = [(i, f"plain text number {i} about person") for i in range(800)]
+    rows += [(1000, "person zorblax one 10.1.2.3 about"), (1001, "about two zorblax 10.1.2.3 person")]
+    rows += [(1010 + i, "copied qwertle 10.7.7.7 about") for i in range(2)]
+    rows += [(1020 + i, f"own{i} acmeworks person {name}@acme.example about") for i, name in enumerate(["ann", "bob", "cy"])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    hidden = {r["doc_id"]: r["__redacted"] for r in pii.redact(d).collect()}
+    assert hidden[1000] == "person [TERM] one [IP] about" and hidden[1001] == "about two [TERM] [IP] person"
+    assert hidden[1010] == "copied qwertle [IP] about"
+    assert [hidden[1020 + i] for i in range(3)] == [f"own{i} [TERM] person [EMAIL] about" for i in range(3)]
+
+
 def test_bpe(docs, empty):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(bpe.default_path())

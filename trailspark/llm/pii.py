@@ -3,8 +3,11 @@ r"""Operator 7, PII: pattern spans, and terms that give protected entities away.
 The base finds e-mail addresses, IPv4 addresses, card numbers and phone numbers by pattern. The method is
 information-theoretic sanitisation: every found entity is protected, and a term that stands near it (``WINDOW``
 words on either side) *discloses* it by PMI(entity; term) / IC(entity), with probabilities estimated over the whole
-corpus: 1 means that who reads the term knows the entity. Terms at or above ``min_disclosure`` with ``min_support``
-different contexts are treated like the entity itself in the documents that hold it.
+corpus: 1 means that who reads the term knows the entity. Terms at or above ``min_disclosure`` are treated like the
+entity itself in the documents that hold it. With ``min_support`` different contexts the estimate counts as it is; with
+fewer, as for an entity that stands once or twice, PMI's lower bound at 95 % does (log counts have variance 1 /
+contexts). An entity's group (an address's domain, a card's issuer, a number's prefix) is protected with it and rated in
+the same way over all its members, so that rare members share their evidence.
 
 Contexts that are the same count once as support, so that copies of one document prove nothing. Patterns are
 possessive forms of those of the contract, with a start test, so that they match the same spans in linear time and
@@ -35,6 +38,8 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 WORD = r"[\p{L}\p{N}]++"
 WINDOW, REACH = 8, 160
 MIN_SUPPORT, MIN_DISCLOSURE = 3, 0.8
+#: Standard errors from an estimate to its one-sided lower bound at 95 %.
+SURE = 1.645
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
 
@@ -118,48 +123,57 @@ def _near(text: Column, s: Column) -> Column:
     return F.transform(F.concat(F.slice(left, F.greatest(n - WINDOW + 1, F.lit(1)), WINDOW), F.slice(right, 1, WINDOW)), lambda w: F.lower(w))
 
 
+def _group(s: Column) -> Column:
+    """What a span's value shares with its kin; never itself a value of the kind."""
+    value, digits = F.lower(s["value"]), _digits(s["value"])
+    network = F.concat(F.substring_index(value, ".", 3), F.lit("."))
+    number = F.concat(F.substring(digits, F.lit(1), F.length(digits) - 4), F.lit(".."))
+    return F.when(s["kind"] == 0, F.concat(F.lit("@"), F.substring_index(value, "@", -1))).when(s["kind"] == 1, network).when(s["kind"] == 2, F.concat(F.substring(digits, 1, 6), F.lit(".."))).otherwise(number)
+
+
 def found_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: identity, base spans, and for each span its entity and the words near it. Written once."""
+    """One row per document: identity, base spans, and for each span its entity, its group and the words near it. Written once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     spans = docs.select(*row_key(id_col, text_col), text.alias("__t"), base_spans(F.col(text_col)).alias("spans"))
-    near = F.transform("spans", lambda s: F.struct(F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])).alias("entity"), _near(F.col("__t"), s).alias("near")))
+    near = F.transform("spans", lambda s: F.struct(F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])).alias("entity"), F.concat_ws(":", s["kind"].cast("string"), _group(s)).alias("group"), _near(F.col("__t"), s).alias("near")))
     return work_table(spans.select("__id", "__th", "spans", near.alias("contexts")), "pii-found")
 
 
-def _disclosure(both: str, n_term: str, n_entity: str, n_docs: int) -> Column:
-    """PMI(entity; term) / IC(entity)."""
+def _disclosure(both: str, n_term: str, n_entity: str, n_docs: int, min_support: int) -> Column:
+    """PMI(entity; term) / IC(entity); of a pair with fewer than min_support contexts (column support) PMI's lower bound."""
     n, both, term, entity = F.lit(float(n_docs)), *(F.col(c).cast("double") for c in (both, n_term, n_entity))
-    return F.when(entity < n, F.log(both * n / (term * entity)) / F.log(n / entity)).otherwise(0.0)
+    unsure = F.when(F.col("support") >= min_support, 0.0).otherwise(SURE / F.sqrt("support"))
+    return F.when(entity < n, (F.log(both * n / (term * entity)) - unsure) / F.log(n / entity)).otherwise(0.0)
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", min_support: int = MIN_SUPPORT, min_disclosure: float = MIN_DISCLOSURE) -> DataFrame:
-    """(entity, term, disclosure): the terms that give an entity away.
+    """(entity, term, disclosure): the terms that give an entity, or an entity's group, away.
 
     Probabilities are shares of documents; min_support counts different contexts, in which copies are one. A term is in
     at least the documents where it stands near an entity, which bounds its disclosure from above: only pairs whose
     bound reaches min_disclosure have their term counted in the whole corpus.
     """
-    contexts = found.select(F.xxhash64("__id", "__th").alias("doc"), F.explode("contexts").alias("c")).select("doc", "c.entity", "c.near")
+    contexts = found.select(F.xxhash64("__id", "__th").alias("doc"), F.explode("contexts").alias("c")).select("doc", F.explode(F.array("c.entity", "c.group")).alias("entity"), "c.near")
     each = contexts.select("doc", "entity", F.xxhash64("near").alias("ctx"), F.explode(F.array_distinct("near")).alias("term"))
     each = work_table(each, "pii-near")
     n_docs = found.count()
     count = lambda df, *by: df.distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    support = count(each.select("entity", "term", "ctx"), "entity", "term").where(F.col("n") >= min_support).select("entity", "term")
+    support = count(each.select("entity", "term", "ctx"), "entity", "term").withColumnRenamed("n", "support")
     both = count(each.select("entity", "term", "doc"), "entity", "term").withColumnRenamed("n", "both")
     n_entity = count(each.select("entity", "doc"), "entity").withColumnRenamed("n", "n_entity")
     n_near = count(each.select("term", "doc"), "term").withColumnRenamed("n", "n_near")
     pairs = both.join(support, ["entity", "term"]).join(n_entity, "entity").join(n_near, "term")
-    pairs = work_table(pairs.where(_disclosure("both", "n_near", "n_entity", n_docs) >= min_disclosure), "pii-pairs")
+    pairs = work_table(pairs.where(_disclosure("both", "n_near", "n_entity", n_docs, min_support) >= min_disclosure), "pii-pairs")
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
     # every term is counted, combined in each task, before the few wanted ones are picked: frequent terms make no rows
     n_term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("held"))
     rated = pairs.join(n_term, "term").withColumn("n_term", F.greatest("held", "n_near"))
-    return rated.select("entity", "term", _disclosure("both", "n_term", "n_entity", n_docs).alias("disclosure")).where(F.col("disclosure") >= min_disclosure)
+    return rated.select("entity", "term", _disclosure("both", "n_term", "n_entity", n_docs, min_support).alias("disclosure")).where(F.col("disclosure") >= min_disclosure)
 
 
 def term_spans(docs: DataFrame, found: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__id2, __th2, __found_terms): the spans of disclosing terms in the documents that hold their entity."""
-    held = found.select("__id", "__th", F.explode(F.array_distinct(F.col("contexts.entity"))).alias("entity"))
+    held = found.select("__id", "__th", F.explode(F.array_distinct(F.concat("contexts.entity", "contexts.group"))).alias("entity"))
     flagged = held.join(terms, "entity").groupBy("__id", "__th").agg(F.collect_set("term").alias("__terms"))
     flagged = work_table(flagged, "pii-flagged").withColumnsRenamed({"__id": "__id2", "__th": "__th2"})
     text = F.coalesce(F.col(text_col), F.lit(""))
