@@ -62,6 +62,29 @@ def test_url_trees_learn(spark):
     assert sum(got[u] == ("block" if y else "allow") for u, y in rows[300:]) >= 98
 
 
+def test_url_suffixes_count_all_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(url_filter, "HOT", 20, raising=False)
+    rows = [(f"http://a{i}.s{i % 97 if i % 2 else 'hot'}.org/{i}", i % 3 % 2) for i in range(2000)]
+    split = spark.createDataFrame(rows, "__url string, __y int").withColumn("__w", F.lit(1.0))
+    host, path = url_filter.host_and_path(F.col("__url"))
+    split = split.withColumns({"__host": host, "__path": path})
+    _, suffixes, prior = url_filter.train(split, max_labelled=100)
+    seen, blocked = defaultdict(int), defaultdict(int)
+    for u, y in rows:
+        suffix = ".".join(u.split("/")[2].split(".")[-2:])
+        seen[suffix] += 1
+        blocked[suffix] += y
+    assert prior == sum(y for _, y in rows) / len(rows)
+    assert {r["__suffix"]: r["__seen"] for r in suffixes.collect()} == seen
+    made = url_filter.with_features(split, suffixes, prior).collect()
+    assert len(made) == len(rows)
+    for r in made:
+        suffix = ".".join(r["__host"].split(".")[-2:])
+        assert math.isclose(r["__f_suffix_rate"], (blocked[suffix] + 4 * prior) / (seen[suffix] + 4)) and math.isclose(r["__f_suffix_seen"], math.log1p(seen[suffix]))
+
+
 def test_kernel_is_the_sum_over_subsequences():
     def features(s):
         out = defaultdict(float)

@@ -7,9 +7,10 @@ histogram boosting written as DataFrame aggregations: the labelled sample is bin
 vectors, and each level of each tree is one aggregation of gradients by (node, feature, bin), of which at most
 nodes x features x bins rows reach the driver. The finished trees are a CASE expression over the scanned rows.
 
-``MAX_LABELLED`` bounds the sample: labelled rows are kept where a hash of their URL falls below MAX_LABELLED / n,
-so about that many stay, whatever the size of the table. The suffix statistics come from that sample alone, which
-bounds what is broadcast.
+``MAX_LABELLED`` bounds the sample that the trees are fitted on: labelled rows are kept where a hash of their URL falls
+below MAX_LABELLED / n, so about that many stay, whatever the size of the table. The suffix statistics count all labelled
+rows. Suffixes with 1 / ``HOT`` of them or more, which are HOT at most, are joined by broadcast; the others by a shuffle,
+in which none is large.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path; with no labelled URLs of both kinds
 everything that no rule decides is allowed; repeated rows are judged alike.
@@ -27,6 +28,7 @@ from .common import ascii_lower, drop_work, work_table
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 MAX_LABELLED, BINS, TREES, DEPTH, RATE, RIDGE = 20_000, 12, 12, 3, 0.3, 1.0
 BACKGROUND = 0.5
+HOT = 10_000
 FEATURES = ("url_length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "digits", "entropy", "parameters", "hyphens", "leading_digit", "suffix_rate", "suffix_seen")
 
 
@@ -74,11 +76,20 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
 
 
 def with_features(pages: DataFrame, suffixes: DataFrame, prior: float) -> DataFrame:
-    """Adds __host, __path (needed before) and __f_<feature>; suffixes is bounded by the labelled sample, so it is broadcast."""
+    """Adds __host, __path (needed before) and __f_<feature>; suffixes as train() returns them."""
+    columns = ["__suffix", "__rate", "__seen"]
+    hot = suffixes.where("__hot").select(*columns)
+    rare = suffixes.where("not __hot").select(F.col("__suffix").alias("__key"), F.col("__rate").alias("__rate2"), F.col("__seen").alias("__seen2"))
+    out = pages.withColumn("__suffix", suffix_of(F.col("__host"))).join(F.broadcast(hot), "__suffix", "left")
+    rate, seen = F.col("__rate"), F.col("__seen")
+    if not rare.isEmpty():
+        # rows that are served get keys of their own, which match nothing and are dealt evenly
+        key = F.when(seen.isNull(), F.col("__suffix")).otherwise(F.concat(F.lit("\0"), F.xxhash64("__url", F.monotonically_increasing_id()).cast("string")))
+        out = out.withColumn("__key", key).join(rare.hint("shuffle_merge"), "__key", "left").drop("__key")
+        rate, seen = F.coalesce(rate, "__rate2"), F.coalesce(seen, "__seen2")
     made = lexical(F.col("__url"), F.col("__host"), F.col("__path"))
-    out = pages.withColumns({f"__f_{k}": v.cast("double") for k, v in made.items()} | {"__suffix": suffix_of(F.col("__host"))})
-    out = out.join(F.broadcast(suffixes), "__suffix", "left")
-    return out.withColumns({"__f_suffix_rate": F.coalesce("__rate", F.lit(prior)), "__f_suffix_seen": F.log1p(F.coalesce("__seen", F.lit(0)).cast("double"))})
+    made |= {"suffix_rate": F.coalesce(rate, F.lit(prior)), "suffix_seen": F.log1p(F.coalesce(seen, F.lit(0)).cast("double"))}
+    return out.withColumns({f"__f_{k}": v.cast("double") for k, v in made.items()})
 
 
 class Trees:
@@ -166,21 +177,22 @@ def grow(binned: DataFrame, cuts: list[list[float]], trees: int = TREES, depth:
 
 
 def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[Trees | None, DataFrame, float]:
-    """labelled: __url, __host, __path, __y (1: block), __w (weight). The model (None without both labels), suffix statistics, prior."""
+    """labelled: __url, __host, __path, __y (1: block), __w (weight). The model (None without both labels), the statistics of all suffixes, prior."""
     spark = labelled.sparkSession
-    n, blocked = labelled.agg(F.count(F.lit(1)), F.sum("__y")).first()
-    empty = spark.createDataFrame([], "__suffix string, __rate double, __seen long")
+    counts = labelled.groupBy(suffix_of(F.col("__host")).alias("__suffix")).agg(F.count(F.lit(1)).alias("__seen"), F.sum("__y").alias("y"), F.sum("__w").alias("w"), F.sum(F.col("__y") * F.col("__w")).alias("yw"))
+    counts = work_table(counts, "url-suffixes")
+    n, blocked, weight, blocked_weight = counts.agg(F.sum("__seen"), F.sum("y"), F.sum("w"), F.sum("yw")).first()
+    empty = spark.createDataFrame([], "__suffix string, __rate double, __seen long, __hot boolean")
     if not n or not blocked or blocked == n:
         return None, empty, 0.5
+    prior = blocked_weight / weight
+    suffixes = counts.select("__suffix", ((F.col("yw") + 4 * prior) / (F.col("w") + 4)).alias("__rate"), "__seen", (F.col("__seen") * HOT >= n).alias("__hot"))
     below = min(1.0, max_labelled / n)
     unit = F.pmod(F.xxhash64("__url"), F.lit(1 << 20)) / float(1 << 20)
     sample = work_table(labelled.where(unit < below), "url-labelled")
-    n, weight, blocked = sample.agg(F.count(F.lit(1)), F.sum("__w"), F.sum(F.col("__y") * F.col("__w"))).first()
-    if not n or not blocked or blocked == weight:
+    taken, taken_blocked = sample.agg(F.count(F.lit(1)), F.sum("__y")).first()
+    if not taken or not taken_blocked or taken_blocked == taken:
         return None, empty, 0.5
-    prior = blocked / weight
-    suffixes = sample.groupBy(suffix_of(F.col("__host")).alias("__suffix")).agg(((F.sum(F.col("__y") * F.col("__w")) + 4 * prior) / (F.sum("__w") + 4)).alias("__rate"), F.count(F.lit(1)).alias("__seen"))
-    suffixes = work_table(suffixes.coalesce(1), "url-suffixes")
     featured = with_features(sample, suffixes, prior)
     steps = [i / BINS for i in range(1, BINS)]
     cuts = featured.agg(*[F.percentile_approx(f"__f_{k}", steps, 10_000).alias(k) for k in FEATURES]).first()
