@@ -82,3 +82,13 @@ def test_git(spark, tmp_path):
     assert {(r["path"], r["line"]) for r in git.changed_lines(spark, root, "HEAD~1").collect()} == {("a.py", 2), ("a.py", 3), ("d/b.py", 1)}
     with pytest.raises(git.ToolFailed):
         git.git(root, "rev-parse", "--verify", "nothing")
+
+
+def test_from_directory_keeps_large_files(spark, tmp_path):
+    from trailspark.sources import text as source
+
+    large = "a line of a log\n" * 140_000
+    (tmp_path / "large.log").write_text(large)
+    (tmp_path / "b.bin").write_bytes(b"a\0b")
+    got = {r["path"].rpartition("/")[2]: (r["text"], r["problem"]) for r in source.from_directory(spark, str(tmp_path)).collect()}
+    assert got == {"large.log": (large, None), "b.bin": (None, "binary")}

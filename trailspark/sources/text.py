@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def from_directory(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (), most_bytes: int = 2_000_000) -> DataFrame:
-    """SC3: (path, sha256, text, problem) of all files below root; a file that is binary or too large has a reason, not a text."""
+def from_directory(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """SC3: (path, sha256, text, problem) of all files below root; a binary file has a reason, not a text."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     if suffixes:
         files = files.where(F.lower("path").rlike(r"\.(" + "|".join(s.lstrip(".") for s in suffixes) + ")$"))
-    problem = F.when(F.col("length") > most_bytes, "too large").when(F.instr(F.substring("content", 1, 8000).cast("string"), "\0") > 0, "binary")
+    problem = F.when(F.instr(F.substring("content", 1, 8000).cast("string"), "\0") > 0, "binary")
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.when(problem.isNull(), F.decode("content", "utf-8")).alias("text"), problem.alias("problem"))
 
 
