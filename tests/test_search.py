@@ -47,6 +47,17 @@ def test_sources(ix):
     assert search.reach(ix, seeds, search.SOURCES).count() > 10
 
 
+def test_find_all_judges_all_hops_of_a_find(spark):
+    callers = "\n\n".join(f"def use{i}(x):\n    return core(x + {i})\n" for i in range(7))
+    own = search.Index.of(spark.createDataFrame([("lib/base.py", "def core(x):\n    return x\n"), ("lib/uses.py", callers)], "path string, text string"))
+    uses = {r["unit"] for r in own.units.where("path = 'lib/uses.py'").collect()}
+    core = own.units.where("path = 'lib/base.py'").first()["unit"]
+    answers = {f"t|{u}": 0.1 for u in uses} | {f"t|{core}": 0.95}
+    rows, stop = search.find_all(own, {"t": "where is core defined"}, search.Seeds(anchors=[("lib/base.py", 1)]), Scripted(answers), budget=30, size=2)
+    got = {r["unit"]: r["p"] for r in rows.collect()}
+    assert stop == "settled" and len(uses) == 7 and got == dict.fromkeys(uses, 0.1) | {core: 0.95}
+
+
 def test_find_all_settles_and_keeps_unanswered_apart(ix):
     flush = "app/store.py:4:5"
     answers = {f"t|{u['unit']}": 0.1 for u in ix.units.collect()} | {f"t|{flush}": 0.95}

@@ -263,8 +263,7 @@ def find_all(ix: Index, targets: dict[str, str], seeds: Seeds, client: Client, b
     pool = cut(value(units_reached(ix, reaches)))
     answers = spark.createDataFrame([], "unit string, p double, target string")
     contents = lambda got: got.join(ix.units.select("unit", "sha"), "unit")
-    pending: dict[str, list[str]] = {t: [] for t in targets}
-    settled: set[str] = set()
+    hopped = spark.createDataFrame([], "target string, unit string, distance long")
     expanded: set[str] = set()
     spent, stop = 0, "exhausted"
     shares = shares or dict.fromkeys(targets, 1.0)
@@ -274,10 +273,13 @@ def find_all(ix: Index, targets: dict[str, str], seeds: Seeds, client: Client, b
         once = ranking.first_wins(pool, ["target", "sha"], [F.desc("value"), F.col("unit")])
         open_rows = once.join(contents(answers).select("sha"), "sha", "left_anti")
         queue = ranking.best(open_rows, size * waves, [F.desc("value"), F.col("sha"), F.col("unit")], ["target"]).select("target", "unit", "rank").collect()  # a wave per target
-        waiting = {t: [u for u in pending[t] if u not in done] for t in targets}
-        for t in targets:
-            if yes_of[t] and not waiting[t]:
-                settled.add(t)
+        waiting: dict[str, list[str]] = {t: [] for t in targets}
+        if expanded:
+            one = ranking.first_wins(hopped.join(ix.units.select("unit", "sha"), "unit"), ["target", "sha"], [F.col("distance"), F.col("unit")])
+            open_hops = one.join(contents(answers).select("target", "sha"), ["target", "sha"], "left_anti")
+            for r in ranking.best(open_hops, size * waves, [F.col("distance"), F.col("unit")], ["target"]).orderBy("target", "rank").collect():  # a wave per target
+                waiting[r["target"]].append(r["unit"])
+        settled = {t for t in targets if yes_of[t] and not waiting[t]}
         if len(settled) == len(targets):
             stop = "settled"
             break
@@ -318,9 +320,10 @@ def find_all(ix: Index, targets: dict[str, str], seeds: Seeds, client: Client, b
             symbols = [r["symbol"] for r in ix.units.where(F.col("unit").isin(*new)).select("symbol").collect() if r["symbol"]]
             found = cut(units_reached(ix, reach(ix, Seeds(names=symbols), hops)).where(~F.col("unit").isin(*new)))
             pool = cut(pool.unionByName(value(found).join(pool.select("unit", "target"), ["unit", "target"], "left_anti")))
-            nearby = found.orderBy("distance", "unit").limit(size * waves).select("unit").collect()
-            for t, u in fresh:
-                pending[t] += [r["unit"] for r in nearby if r["unit"] not in pending[t]]
+            # the hops stay a table, of which each round draws the nearest that are open
+            now = spark.createDataFrame([(t,) for t in sorted({t for t, u in fresh if u in new})], "target string")
+            near = cut(hopped.unionByName(now.crossJoin(found.select("unit", "distance"))))
+            hopped = cut(near.groupBy("target", "unit").agg(F.min("distance").alias("distance")))
     # JN26: copies take the answer of the one that was judged
     judged = contents(answers).groupBy("target", "sha").agg(F.min_by(F.struct("p", "unit"), "unit").alias("j"))
     result = pool.join(judged, ["target", "sha"], "left").withColumns({"p": F.col("j.p"), "unit2": F.col("j.unit")})
