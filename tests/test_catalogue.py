@@ -46,6 +46,16 @@ def test_runs(spark, oracle, name):
     assert catalogue.QUERIES[name](spark, DIR).count() > 0
 
 
+def test_traces_start_at_the_first_part(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    own = [(1, p) for p in range(1, 9)] + [(2, 1), (2, 4)]  # 1 to 8 in a row, and a way from 1 to 4
+    spark.createDataFrame(own, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    nodes = lambda name: sorted(r["node"] for r in entry.queries()[name](spark, str(tmp_path)).collect())
+    assert nodes("backbone_path") == [1, 4, 5, 6, 7, 8]
+    assert nodes("trace_fixed_point_first") == list(range(1, 9))
+
+
 def test_entry():
     import __spark_entry__ as entry
 

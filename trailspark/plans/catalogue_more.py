@@ -135,9 +135,9 @@ def fact_spans(spark, d):
 def backbone_path(spark, d):
     """GR3: the shortest paths from the first part to its farthest ones."""
     edges = fx.part_edges(spark, d)
-    roots = fx.table(spark, d, "lineitem").agg((F.max("l_partkey") - 60).alias("node"))
-    reached = graph.trace(edges, roots, 3)[0]
-    return search.backbone(edges, roots, reached.where("hop = 3").select("node"), 3)
+    roots = fx.table(spark, d, "lineitem").agg(F.min("l_partkey").alias("node"))
+    reached = graph.trace(edges, roots)[0]
+    return search.backbone(edges, roots, reached.join(reached.agg(F.max("hop").alias("hop")), "hop", "left_semi").select("node"))
 
 
 def _index(spark, d) -> search.Index:
