@@ -51,12 +51,27 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_levels_compact(spark, docs):
-    runs = line_dedup.LineRuns(fanout=2)
+def test_line_dedup_of_long_texts_and_clashing_names(spark):
+    names = "id th pos line row gone h1 h2 n batch id2 th2 __kept __n_lines".split()
+    rows = [(i, "shared\n" + "\n".join(f"own {i} {j}" for j in range(20_000 if i == 0 else 3)), *[str(i)] * len(names)) for i in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(d).collect()}
+    assert all(got[i]["___kept"] == rows[i][1][7:] and got[i]["__n_dropped"] == 1 and got[i]["id"] == str(i) and got[i]["__kept"] == str(i) for i in range(12))
+    assert got[0]["___n_lines"] == 20_001
+    often = spark.createDataFrame([(i, "twice here\n" * 9) for i in range(9)], "doc_id long, text string")
+    assert {r["__n_dropped"] for r in line_dedup.dedup_lines(often).collect()} == {0}
+
+
+def test_levels_compact(spark):
+    runs = line_dedup.LineRuns(min_docs=5, fanout=2)
     for i in range(5):
-        runs.add(spark.createDataFrame([(i, f"shared\nown {i}")], "doc_id long, text string"))
+        batch = spark.createDataFrame([(10 * i + j, f"shared\nhot {min(i, 1)}\nown {i} {j}") for j in range(1 if i else 6)], "doc_id long, text string")
+        runs.add(line_dedup.line_table(batch))
     assert [len(level) for level in runs.levels] == [1, 0, 1]
-    assert runs.frequent(5).count() == 1
+    # the first batch settles two keys, which later batches do not count again; one more comes only to four
+    assert sorted(r["n"] for run in runs.runs() for r in run.collect() if r["n"] > 1) == [3, 6, 6]
+    assert runs.frequent().count() == 2
+    runs.close()
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -40,11 +40,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), a temporary one is set."""
+    """The folder in spark.checkpoint.dir; only where that is unset and Spark runs in one process (tests), a temporary one is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -66,17 +68,55 @@ def work_table(df: DataFrame, name: str, sort: list[str] | None = None, partitio
 
 def drop_work(df: DataFrame) -> None:
     """Deletes a work table that nothing reads any more."""
-    path = getattr(df, "_work_path", None)
-    if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path := getattr(df, "_work_path", None):
+        drop_path(df.sparkSession, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ascii_lower(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
+    """A-Z in lower case; lower() is far faster and the same where all is ASCII."""
+    return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores put before it as make it new among the columns of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def boxed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(box, id, th): all columns of docs in one struct, so that no name of theirs can clash with an operator's own, and
+    the row's identity: its id and its text's hash, so that a null or repeated id does not mix rows of different texts.
+    """
+    return docs.select(F.struct(*map(column, docs.columns)).alias(free(docs, "box")), column(id_col).alias("id"), text_hash(column(text_col)).alias("th"))
+
+
+def unboxed(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of docs out of their box in df, and the new ones under names that are free."""
+    box = free(docs, "box")
+    made = df.select(box, *(value.alias(f"{box}_{i}") for i, value in enumerate(new.values())))
+    return made.select(*(F.col(box).getField(c).alias(c) for c in docs.columns), *(F.col(f"{box}_{i}").alias(free(docs, name)) for i, name in enumerate(new)))
 
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
-    """A row's identity: its id and its text's hash, so that a null or repeated id does not mix rows of different texts."""
     return [F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__th")]
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once however often, and in whatever lambda, use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -1,25 +1,33 @@
 """Operator 4, line dedup: levelled sorted runs of line hashes.
 
-A *run* is a table (h1, h2, n): a line key's two 64-bit hashes and the number of documents that hold it, sorted
-by hash. Every batch of documents adds a run on level 0; when a level holds ``fanout`` runs they are merged by
-summing into one run of the next level. A batch's lines are then merge-joined with the runs, and the lines whose
-key reached ``min_docs`` documents are taken out (the anti-join is made on positions, so that line texts are not
-shuffled; a document's text moves once).
+Every line is hashed once: the *lines* table holds a row (row, id, th, pos, h1, h2) for each, dealt into batches of
+documents. A *run* is a table (h1, h2, n): a line key's two 64-bit hashes and the number of documents that hold it,
+bucketed and sorted by hash. A batch is merge-anti-joined with each run: a key that a run already counts in
+``min_docs`` documents is settled and needs no more counting. What is left is added as the batch's own run on level 0.
+When a level holds ``fanout`` runs they are compacted, by summing, into one run of the next level. All runs have the
+same buckets, so that neither the anti-joins nor compactions move a run's rows.
+
+After the last batch the settled keys are semi-joined with the lines table; the lines that they name are taken out by
+position, so that line texts are never shuffled and a document's text moves once. Time is linear in the lines, also
+within one document.
 
 Defined cases: a null or empty text is one empty line; keys shorter than ``min_chars`` code points stay; a line
-repeated inside one document counts once; repeated rows count as documents of their own; a row's identity is
-(id, text), compared null-safely; other columns, whatever their names, are left alone.
+repeated inside one document counts once; repeated rows count as documents of their own; ties do not arise, as a key
+goes or stays with all its lines; an empty table gives an empty table; a row's identity is (id, text), compared
+null-safely; other columns are left alone, and where they have the names of the new ones, those get more underscores.
 Native: DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower, row_key, work_table
+from .common import WHITE, ascii_lower, boxed, column, drop_path, drop_work, free, let, shared_dir, text_hash, unboxed, work_table
 
-FANOUT = 4
+FANOUT, BATCHES = 2, 4
 
 
 def split_lines(text: Column) -> Column:
@@ -30,80 +38,105 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.trim(line, F.lit(WHITE)))
 
 
-def _hashes(lines: Column, min_chars: int) -> Column:
-    """For each line the pair of hashes of its key, or null where the key is too short."""
-
-    def one(line: Column) -> Column:
-        key = line_key(line)
-        return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2")))
-
-    return F.transform(lines, one)
+def line_table(docs: DataFrame, batches: int = 1, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each line with a key of min_chars or more. row names the document among repeated ones; it holds in this table only."""
+    text = column(text_col)
+    # numbered before lines are made of it: each document gets one number
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), column(id_col).alias("id"), text_hash(text).alias("th"), text.alias("text"))
+    rows = rows.select("row", "id", "th", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
+    key = line_key(F.col("line"))
+    batch = F.pmod(F.xxhash64("id", "th"), F.lit(batches)).cast("int").alias("batch")
+    hashed = rows.select("row", "id", "th", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"), F.length(key).alias("n"), batch)
+    return work_table(hashed.where(F.col("n") >= min_chars).drop("n"), "lines", partition_by=["batch"])
 
 
 class LineRuns:
-    """The levelled runs; ``add`` appends batches, ``frequent`` merges what is there."""
-
-    def __init__(self, fanout: int = FANOUT, min_chars: int = 1):
-        self.fanout, self.min_chars, self.levels = fanout, min_chars, [[]]
-
-    def run_of(self, batch: DataFrame, text_col: str, by: list[str] | None = None) -> DataFrame:
-        keys = F.array_distinct(F.filter(_hashes(split_lines(F.col(text_col)), self.min_chars), lambda h: h.isNotNull()))
-        by = by or []
-        lines = batch.select(*by, F.explode(keys).alias("__k")).select(*by, "__k.h1", "__k.h2")
-        return lines.groupBy(*by, "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-
-    def add(self, batch: DataFrame, text_col: str = "text") -> None:
-        self._put(0, work_table(self.run_of(batch, text_col), "line-run", sort=["h1", "h2"]))
-
-    def add_split(self, docs: DataFrame, text_col: str, id_col: str, batches: int) -> None:
-        """One scan that adds ``batches`` level-0 runs, dealt by the id's hash."""
-        dealt = docs.withColumn("__run", F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)).cast("int"))
-        table = work_table(self.run_of(dealt, text_col, ["__run"]), "line-runs", sort=["__run", "h1", "h2"], partition_by=["__run"])
-        for run in range(batches):
-            self._put(0, table.where(F.col("__run") == run).select("h1", "h2", "n"), merge=run == batches - 1)
-
-    def _put(self, level: int, run: DataFrame, merge: bool = True) -> None:
+    """The levelled runs; ``add`` takes a batch of lines, ``frequent`` gives the settled keys. ``close`` deletes them."""
+
+    def __init__(self, min_docs: int = 10, fanout: int = FANOUT):
+        self.min_docs, self.fanout, self.levels = min_docs, fanout, [[]]
+
+    def add(self, lines: DataFrame) -> None:
+        """lines: rows (row, h1, h2) of documents that no earlier batch held."""
+        mine = lines.groupBy("h1", "h2").agg(F.count_distinct("row").alias("n"))
+        for run in self.runs():
+            mine = mine.join(run.where(F.col("n") >= self.min_docs).select("h1", "h2"), ["h1", "h2"], "left_anti")
+        self._put(0, self._write(mine))
+
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
+
+    def _write(self, counts: DataFrame) -> DataFrame:
+        spark = counts.sparkSession
+        name = f"line_run_{uuid.uuid4().hex}"
+        path, buckets = f"{shared_dir(spark)}/{name}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = counts.select("h1", "h2", "n").repartition(buckets, "h1", "h2")
+        dealt.write.bucketBy(buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).option("compression", "zstd").saveAsTable(name)
+        run = spark.table(name)
+        run._work_path, run._work_name = path, name
+        return run
+
+    def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
-        if merge and len(self.levels[level]) >= self.fanout:
+        if len(self.levels[level]) >= self.fanout:
             runs, self.levels[level] = self.levels[level], []
-            self._put(level + 1, work_table(self._merged(runs), "line-run", sort=["h1", "h2"]))
+            self._put(level + 1, self._write(self._merged(runs)))
+            self._drop(runs)
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
-        union = runs[0]
+        """Merge joins: the runs are sorted and have the same buckets."""
+        merged = runs[0].select("h1", "h2", "n")
         for run in runs[1:]:
-            union = union.unionByName(run)
-        return union.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+            both = merged.join(run.select("h1", "h2", F.col("n").alias("n2")), ["h1", "h2"], "full")
+            merged = both.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"))
+        return merged
 
-    def frequent(self, min_docs: int) -> DataFrame:
-        runs = [run for level in self.levels for run in level]
+    def frequent(self) -> DataFrame:
+        runs = self.runs()
         merged = runs[0] if len(runs) == 1 else self._merged(runs)
-        return merged.where(F.col("n") >= min_docs).select("h1", "h2")
-
-
-def drop_frequent(docs: DataFrame, frequent: DataFrame, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with __n_lines, __n_dropped and __kept (the text that is left; null where the text is null)."""
-    hashed = docs.select(*row_key(id_col, text_col), F.posexplode(_hashes(split_lines(F.col(text_col)), min_chars)).alias("__pos", "__k"))
-    lines = hashed.where("__k is not null").select("__id", "__th", "__pos", "__k.h1", "__k.h2")
-    drops = lines.join(frequent, ["h1", "h2"], "left_semi").groupBy("__id", "__th").agg(F.collect_set("__pos").alias("__drop"))
-    d = drops.withColumnsRenamed({"__id": "__id2", "__th": "__th2"})
-    named = docs.select("*", *row_key(id_col, text_col))
-    joined = named.join(d, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__th") == F.col("__th2")), "left")
-    lines_of = split_lines(F.col(text_col))
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines_of) - 1), F.col("__drop"))
-    left = F.array_join(F.transform(keep, lambda i: F.get(lines_of, i)), "\n")
-    return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.size(lines_of).cast("long").alias("__n_lines"),
-        F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("__n_dropped"),
-        F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(left).alias("__kept"),
-    )
+        return merged.where(F.col("n") >= self.min_docs).select("h1", "h2")
 
-
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = FANOUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows of docs, with the lines gone whose key is in min_docs documents or more."""
-    runs = LineRuns(min_chars=min_chars)
-    runs.add_split(docs, text_col, id_col, batches)
-    return drop_frequent(docs, runs.frequent(min_docs), min_chars, id_col, text_col)
+    @staticmethod
+    def _drop(runs: list[DataFrame]) -> None:
+        for run in runs:
+            run.sparkSession.sql(f"drop table if exists {run._work_name}")
+            drop_path(run.sparkSession, run._work_path)
+
+    def close(self) -> None:
+        self._drop(self.runs())
+        self.levels = [[]]
+
+
+def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id2, th2, gone): the positions of the lines that go, for each document that loses any."""
+    lines = line_table(docs, batches, min_chars, id_col, text_col)
+    runs = LineRuns(min_docs)
+    for batch in range(batches):
+        runs.add(lines.where(F.col("batch") == batch))
+    hit = lines.join(runs.frequent(), ["h1", "h2"], "left_semi")
+    gone = work_table(hit.groupBy(F.col("id").alias("id2"), F.col("th").alias("th2")).agg(F.collect_set("pos").alias("gone")), "lines-gone")
+    runs.close()
+    drop_work(lines)
+    return gone
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows of docs with __n_lines, __n_dropped and __kept: what is left without the lines whose key is in min_docs documents or more (null where the text is null)."""
+    gone = dropped_lines(docs, min_docs, min_chars, batches, id_col, text_col)
+    # the positions are the side that is hashed, so that texts are not sorted
+    joined = boxed(docs, id_col, text_col).join(gone.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left")
+    text = F.col(free(docs, "box")).getField(text_col)
+    full = F.coalesce(text, F.lit(""))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split_lines(text)) - 1), F.col("gone"))
+    left = let(split_lines(text), lambda lines: F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    n_lines = F.octet_length(full) - F.octet_length(F.replace(full, F.lit("\n"), F.lit(""))) + 1
+    return unboxed(
+        joined,
+        docs,
+        __n_lines=n_lines.cast("long"),
+        __n_dropped=F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
+        __kept=F.when(F.col("gone").isNull(), text).otherwise(left),
+    )
