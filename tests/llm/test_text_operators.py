@@ -168,13 +168,39 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
-def test_packing_mixture(spark):
-    rows = [(i, "word " * 100, "big" if i % 3 else "small") for i in range(600)]
-    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+@pytest.mark.parametrize("targets", [None, {"big": 1, "small": 3}])
+def test_packing_mixture(spark, targets):
+    """While no queue is dry, each window holds each source's share, within two points."""
+    rows = [(i, "word " * (40 + i % 90), "big" if i % 3 else f"tiny{i % 7}" if i % 5 == 0 else "small") for i in range(1500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = packing.pack(d, targets=targets).collect()
     source = {r[0]: r[2] for r in rows}
-    by = Counter((r["sequence_id"], source[r["doc_id"]]) for r in got for _ in range(r["length"]))
-    last = max(r["sequence_id"] for r in got)
-    assert all(abs(by[w, "small"] / 2048 - 1 / 3) < 0.16 for w in range(last))
+    total = Counter(source[r["doc_id"]] for r in got for _ in range(r["length"]))
+    if targets:
+        n = sum(total.values())
+        share = {"big": 0.25, "small": 0.75} | {s: total[s] / n for s in total if s.startswith("tiny")}
+        whole = sum(share.values())
+        dry = min(int(total[s] / (share[s] / whole)) // 2048 for s in ("big", "small"))
+    else:
+        whole, share, dry = sum(total.values()), total, max(r["sequence_id"] for r in got)
+    by = Counter()
+    for r in got:
+        by[r["sequence_id"], source[r["doc_id"]]] += r["length"]
+    assert dry > 5 and all(abs(by[w, s] / 2048 - share[s] / whole) <= 0.02 for w in range(1, dry) for s in share if share[s] / whole > 0.02)
+
+
+def test_packing_edges_of_encoding():
+    import random
+
+    import pyarrow as pa
+
+    tokenizers = pytest.importorskip("tokenizers")
+    library, own = tokenizers.Tokenizer.from_file(packing.default_path()), packing.WordIds(packing.default_path())
+    draw = random.Random(5)
+    texts = ["".join(draw.choices("aaBcdeÉéŐß \n\t\x1c\u00a0\u2003 '.,;0123日😀İK!?", k=draw.randint(0, 80))) for _ in range(1500)] + [" ", "", " a", "a ", None, "it's don't", "<|endoftext|> x<|endoftext|>"]
+    ids, lengths = own.encode(pa.array(texts).slice(3))
+    ends = lengths.cumsum().tolist()
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, lengths.tolist(), strict=True)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts[3:]]
 
 
 def test_media(docs, empty):

@@ -120,3 +120,20 @@ def text_hash(text: Column) -> Column:
 def let(value: Column, use) -> Column:
     """use(value), with value computed once however often, and in whatever lambda, use refers to it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def tidy(*forget) -> None:
+    """Gives memory back at the end of a Python task: its worker is used again, by other operators too."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    for f in forget:
+        f()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library: nothing to trim
+        pass

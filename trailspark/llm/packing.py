@@ -1,40 +1,40 @@
 """Operator 6, packing: mixture-controlled, by deficit round-robin over source queues.
 
-Every source is a queue of pieces (documents, cut at ``UNIT`` ids). In each round every queue's credit grows by its
-quantum, its target share of one window, and the queue sends the pieces that its credit covers; what is left over or
-missing (the deficit) is carried to the next round, and so across windows and partitions. As a queue's credit only
-depends on the round, the piece that ends at token E of its queue goes out in round ceil(E / quantum): the schedule
-is computed for all pieces at once from prefix sums, without a sequential pass. The rounds laid end to end are cut
-into sequences of ``WINDOW`` ids, so that only the very last one can be short; a piece is cut where a sequence ends.
-
-Targets default to each source's share of all tokens; given targets hold until a source runs dry, and every
-document is packed in any case. Prefix sums have two levels (task, then tasks), so no queue is gathered anywhere:
-a source with a third of all rows is as many partial sums as tasks. Ids are computed once, written with the pieces,
-and move once, with their round.
+Every source is a queue of ids, the documents of its tasks laid end to end. In each round every queue's credit grows by
+its quantum, its target share of one window, and the queue sends as many ids as its credit covers; what is below one id
+(below ``GRAIN`` ids where the quantum is smaller than that) is its deficit, carried to the next round, and so across
+windows and partitions. As a queue's credit only depends on the round, what all queues have sent before any round is
+known from their lengths and quanta alone: the place of every id is computed where its document lies, without a
+sequential pass and without moving ids. The rounds laid end to end are cut into sequences of ``WINDOW`` ids, so that
+only the very last one can be short; a document is cut where a round or a sequence ends. A full window differs from
+the targets of the queues that still hold ids by the grain, and one id a queue, at most.
+
+Targets default to each source's share of all ids; given targets hold until a source runs dry, and every document is
+packed in any case. Sources under 1 / ``TAIL`` of the ids share ``TAIL`` tail queues, dealt by hash: so there are no more
+than 2 x ``TAIL`` queues (and one for each given target), however many sources there are. Prefix sums have two levels
+(task, then tasks), so no queue is gathered anywhere: a source with a third of all rows is as many partial sums as tasks.
+Ids are computed once and written with their documents.
 
 Defined cases: a null text is empty (one closing id); a null source is a queue of its own; repeated rows are packed
-each by itself; very long texts are many pieces. Extra columns are left out.
+each by itself; ties do not arise, as queues are ordered by name and documents by their place in the input; a very
+long text is cut like any other; an empty table gives no pieces. Extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import work_table
+from .common import column, tidy, work_table
 
-WINDOW, UNIT, END_ID, MEMORY = 2048, 512, 1, 300_000
-#: Rounds whose token counts are summed in one task before the sums of such blocks are.
-ROUND_BLOCK = 1 << 14
-_CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
+WINDOW, GRAIN, TAIL, END_ID = 2048, 16, 64, 1
+#: Pieces of words whose ids a worker remembers, and bytes of text that it splits at once.
+MEMORY, PART_BYTES = 300_000, 4 << 20
 #: Letters whose lower case is one letter and that normalisation leaves alone, and signs that may close them (no apostrophe, and none that special tokens begin with).
-_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([!-&(-/:;=?@\\[-`{}~]*)")
-#: str.split() parts words at these too, but they are no blanks to the library.
-_NO_BLANKS = "\x1c\x1d\x1e\x1f"
+SIMPLE = "^(?P<stem>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)(?P<mark>[!-&(-/:;=?@\\[-`{}~]*)$"
 
 
 def default_path() -> str:
@@ -44,11 +44,11 @@ def default_path() -> str:
 
 
 class WordIds:
-    """Ids of texts by the tokenizers library, remembered by blank-separated chunk: its vocabulary drops blanks, and no token spans one.
+    """Ids of texts by the tokenizers library, for each distinct blank-separated word once: its vocabulary drops blanks, and no token spans one.
 
-    The library splits letters from what follows them and reads them in lower case, so a chunk of letters and closing
-    punctuation is put together from both; the letters of many new chunks are encoded as one text, whose ids part
-    where a token ends a word.
+    The library splits letters from what follows them and reads them in lower case, so a word of letters and closing
+    punctuation is put together from both; the letters of many new words are encoded as one text, whose ids part where
+    a token ends a word. ``pool`` holds the ids of all known pieces, each at ``starts`` for ``lengths``.
     """
 
     def __init__(self, path: str):
@@ -60,45 +60,70 @@ class WordIds:
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-
-    def _alone(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(got.ids, dtype="<u4").tobytes() for got in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _learn_stems(self, stems: list[str]) -> None:
-        for i in range(0, len(stems), 1000):
-            part = stems[i : i + 1000]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            made = [x.tobytes() for x in np.split(ids, cuts[:-1])] if len(cuts) == len(part) and cuts[-1] == len(ids) else self._alone(part)
-            self.stems.update(zip(part, made, strict=True))
-
-    def _learn(self, chunks: list[str]) -> None:
-        simple = [(c, m[1].lower(), m[2]) for c in chunks if (m := _SIMPLE.fullmatch(c))]
-        self._learn_stems(list({stem for _, stem, _ in simple if stem not in self.stems}))
-        marks = list({mark for _, _, mark in simple if mark})
-        closing = dict(zip(marks, self._alone(marks), strict=True)) | {"": b""}
-        for chunk, stem, mark in simple:
-            self.known[chunk] = self.stems[stem] + closing[mark]
-        rest = [c for c in chunks if c not in self.known]
-        for i in range(0, len(rest), 20_000):
-            self.known.update(zip(rest[i : i + 20_000], self._alone(rest[i : i + 20_000]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.starts, self.lengths, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def _alone(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(got.ids, dtype=np.uint32) for got in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str], letters: bool) -> None:
+        ids, lengths = [], []
+        for i in range(0, len(pieces), 1000):
+            part = pieces[i : i + 1000]
+            if letters:
+                joined = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+                cuts = np.flatnonzero(self.ends[joined]) + 1
+                if len(cuts) == len(part) and cuts[-1] == len(joined):
+                    ids.append(joined)
+                    lengths.append(np.diff(cuts, prepend=0))
+                    continue
+            made = self._alone(part)
+            ids += made
+            lengths.append(np.array([len(x) for x in made], dtype=np.int64))
+        if pieces:
+            n = np.concatenate(lengths)
+            self.known.update(zip(pieces, range(len(self.lengths), len(self.lengths) + len(pieces)), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(n) - n])
+            self.lengths = np.concatenate([self.lengths, n])
+            self.pool = np.concatenate([self.pool, *ids])
+
+    def _numbers(self, pieces, letters: bool) -> np.ndarray:
+        """The numbers of pieces, an Arrow array of distinct strings."""
+        pieces = pieces.to_pylist()
+        self._learn([p for p in pieces if p not in self.known], letters)
+        return np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Of an Arrow array of texts: all their ids, and how many each has."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         if len(self.known) > MEMORY:
-            self.known.clear()
-        if len(self.stems) > MEMORY:
-            self.stems.clear()
-        split = [_CHUNK.findall(t) if any(c in t for c in _NO_BLANKS) else t.split() for t in texts]
-        found = [list(map(self.known.get, chunks)) for chunks in split]
-        missing = [i for i, got in enumerate(found) if None in got]
-        if missing:
-            self._learn(list({c for i in missing for c, got in zip(split[i], found[i], strict=True) if got is None}))
-            for i in missing:
-                found[i] = list(map(self.known.__getitem__, split[i]))
-        return list(map(b"".join, found))
+            self.forget()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        of_word = words.indices.to_numpy()
+        parts = pc.extract_regex(words.dictionary, SIMPLE)
+        plain = pc.is_valid(parts).to_numpy(zero_copy_only=False)
+        stems = pc.utf8_lower(parts.field("stem").filter(pa.array(plain))).dictionary_encode()
+        marks = parts.field("mark").filter(pa.array(plain)).dictionary_encode()
+        first, second = np.empty(len(plain), np.int64), np.empty(len(plain), np.int64)
+        closing = self._numbers(marks.dictionary, False)
+        nothing = self._numbers(pa.array([""]), False)
+        first[plain] = self._numbers(stems.dictionary, True)[stems.indices.to_numpy()]
+        second[plain] = closing[marks.indices.to_numpy()]
+        first[~plain] = self._numbers(words.dictionary.filter(pa.array(~plain)), False)
+        second[~plain] = nothing
+        # each word is two known pieces, the second often empty
+        both = np.stack([first[of_word], second[of_word]], axis=1).ravel()
+        n = self.lengths[both]
+        until = np.concatenate([[0], np.cumsum(n)])
+        ids = self.pool[np.repeat(self.starts[both] - until[:-1], n) + np.arange(until[-1])]
+        ends = until[2 * (split.offsets.to_numpy() - split.offsets[0].as_py())]
+        return ids, np.diff(ends)
 
 
 _encoders: dict[str, WordIds] = {}
@@ -111,8 +136,19 @@ def encoder(path: str | None) -> WordIds:
     return _encoders[path]
 
 
-def _pieces(docs: DataFrame, path: str | None, unit: int, end_id: int) -> DataFrame:
-    """One row per piece: task, number in the task, source, document, start, length, the queue's tokens up to its end within the task, ids."""
+def parts_of(batch, place: int, size: int = PART_BYTES):
+    """Slices of a batch whose texts have about size bytes."""
+    import pyarrow.compute as pc
+
+    until = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False)) // size
+    cuts = [0, *(np.flatnonzero(np.diff(until)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def _encoded(docs: DataFrame, path: str | None, end_id: int) -> DataFrame:
+    """One row per document: task, source, doc_id, its ids, their number, and the source's ids up to its end within the task."""
 
     def run(batches):
         import os
@@ -123,77 +159,107 @@ def _pieces(docs: DataFrame, path: str | None, unit: int, end_id: int) -> DataFr
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         enc, task = encoder(path), TaskContext.get().partitionId()
-        closing = np.array([end_id], dtype="<u4").tobytes()
         ends: dict[str | None, int] = {}
-        number = 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                out = [[] for _ in range(7)]
-                sources = batch.column(2).to_pylist()
-                for row, ids in enumerate(enc.encode([t or "" for t in batch.column(1).to_pylist()])):
-                    ids = np.frombuffer(ids + closing, dtype="<u4")
-                    small = ids.astype("<u2") if ids.max() < 1 << 16 else ids
-                    for start in range(0, len(ids), unit):
-                        n = min(unit, len(ids) - start)
-                        ends[sources[row]] = end = ends.get(sources[row], 0) + n
-                        for column, value in zip(out, (row, number, start, n, end, len(ids), small[start : start + n].tobytes()), strict=True):
-                            column.append(value)
-                        number += 1
-                take = pa.array(out[0], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([task] * len(take), pa.int32()), pa.array(out[1], pa.int64()), batch.column(2).take(take), batch.column(0).take(take), *(pa.array(c, pa.int64()) for c in out[2:6]), pa.array(out[6], pa.binary())],
-                    ["task", "number", "source", "doc_id", "start", "length", "end", "doc_tokens", "ids"],
-                )
+            for batch in parts_of(whole, 1):
+                ids, lengths = enc.encode(batch.column(1))
+                until = np.cumsum(lengths)
+                closed = np.insert(ids, until, end_id).astype("<u4")
+                until += np.arange(1, len(until) + 1)
+                mine = []
+                for source, n in zip(batch.column(2).to_pylist(), (lengths + 1).tolist(), strict=True):
+                    ends[source] = end = ends.get(source, 0) + n
+                    mine.append(end)
+                offsets = pa.py_buffer(np.concatenate([[0], 4 * until]).astype("<i4"))
+                binary = pa.Array.from_buffers(pa.binary(), len(until), [None, offsets, pa.py_buffer(closed)])
+                yield pa.RecordBatch.from_arrays([pa.array([task] * len(until), pa.int32()), batch.column(2), batch.column(0), binary, pa.array(lengths + 1, pa.int64()), pa.array(mine, pa.int64())], ["task", "source", "doc_id", "ids", "doc_tokens", "end"])
+        tidy(enc.forget)
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(run, f"task int, number long, source string, doc_id {kind}, start long, length long, end long, doc_tokens long, ids binary")
-
+    return docs.mapInArrow(run, f"task int, source string, doc_id {kind}, ids binary, doc_tokens long, end long")
+
+
+class Schedule:
+    """What deficit round-robin sends when: queues in order, with their lengths and quanta (in 1 / 65,536 of an id)."""
+
+    def __init__(self, tokens: list[int], shares: list[float]):
+        self.tokens = np.array(tokens, dtype=np.int64)
+        total = sum(shares) or 1.0
+        self.quantum = np.array([max(1, round(x / total * WINDOW * 65_536)) for x in shares], dtype=np.int64)
+        self.grain = np.where(self.quantum >= GRAIN << 16, 1, GRAIN)
+        # credits to begin with, all below a grain and spread evenly, so that small queues do not send in the same rounds
+        self.credit = (np.arange(len(tokens)) * 0.6180339887498949 % 1 * self.grain * 65_536).astype(np.int64)
+
+    def sent(self, queue, rounds) -> np.ndarray:
+        """Ids that a queue has sent before a round."""
+        grain = self.grain[queue]
+        return np.minimum(self.tokens[queue], (rounds * self.quantum[queue] + self.credit[queue] >> 16) // grain * grain)
+
+    def round_of(self, queue: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The round in which the id at a place of its queue is sent."""
+        grain = self.grain[queue]
+        need = np.minimum(at // grain + 1, -(-self.tokens[queue] // grain)) * grain
+        return -(((self.credit[queue] - (need << 16)) // self.quantum[queue])) - 1
+
+    def cut(self, queue: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Runs of ids of queues, cut where rounds and windows end: (number of the run, start inside it, length, place in all)."""
+        first, last = self.round_of(queue, start), self.round_of(queue, start + length - 1)
+        run = np.repeat(np.arange(len(queue)), last - first + 1)
+        at_round = np.arange(len(run)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[run]
+        q = queue[run]
+        begin = np.maximum(start[run], self.sent(q, at_round))
+        end = np.minimum((start + length)[run], self.sent(q, at_round + 1))
+        rounds, of_round = np.unique(at_round, return_inverse=True)
+        every = np.arange(len(self.tokens))
+        before, after = self.sent(every, rounds[:, None]), self.sent(every, rounds[:, None] + 1)
+        ahead = before.sum(axis=1, keepdims=True) + np.cumsum(after - before, axis=1) - (after - before)
+        place = ahead[of_round, q] + begin - self.sent(q, at_round)
+        # a piece is no longer than a window, so that it is cut once at most
+        here = np.minimum(end - begin, WINDOW - place % WINDOW)
+        rest = end - begin - here
+        twice = np.repeat(np.arange(len(run)), 1 + (rest > 0))
+        second = np.r_[False, twice[1:] == twice[:-1]]
+        skip = np.where(second, here[twice], 0)
+        return run[twice], (begin - start[run])[twice] + skip, np.where(second, rest[twice], here[twice]), place[twice] + skip
+
+
+def _placed(schedule: Schedule, kind: str):
+    def run(batches):
+        import pyarrow as pa
 
-def _placed(batches):
-    """Cuts the pieces where sequences end."""
-    import pyarrow as pa
+        for whole in batches:
+            for batch in parts_of(whole, 1):
+                queue, end, tokens = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3, 4))
+                row, start, length, place = schedule.cut(queue, end - tokens, tokens)
+                views = [memoryview(x.as_buffer()) for x in batch.column(1)]
+                crc = [zlib.crc32(views[r][a:b]) for r, a, b in zip(row.tolist(), (4 * start).tolist(), (4 * (start + length)).tolist(), strict=True)]
+                out = [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(tokens[row]), pa.array(place // WINDOW), pa.array(place % WINDOW)]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    for batch in batches:
-        ids, start, length, tokens, place = (batch.column(i).to_pylist() for i in (1, 2, 3, 4, 5))
-        out = [[] for _ in range(7)]
-        for row in range(batch.num_rows):
-            wide = np.frombuffer(ids[row], dtype="<u2" if len(ids[row]) == 2 * length[row] else "<u4").astype("<u4")
-            at, done = place[row], 0
-            while done < length[row]:
-                n = min(length[row] - done, WINDOW - at % WINDOW)
-                for column, value in zip(out, (row, start[row] + done, n, zlib.crc32(wide[done : done + n].tobytes()), tokens[row], at // WINDOW, at % WINDOW), strict=True):
-                    column.append(value)
-                at, done = at + n, done + n
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int32())), *(pa.array(c, pa.int64()) for c in out[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+    return run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str, float] | None = None, path: str | None = None, unit: int = UNIT, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str, float] | None = None, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """One row per piece of a document in a sequence; targets: source -> share of a window."""
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
-    pieces = work_table(_pieces(picked, path, unit, end_id), "packing-pieces")
-    # first level: tokens of each queue in each task; second level: what the tasks before it hold
-    sums = pieces.groupBy("source", "task").agg(F.sum("length").alias("tokens"))
-    before = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source", "task", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before"), F.sum("tokens").over(Window.partitionBy("source")).alias("of_source"))
-    total = pieces.agg(F.sum("length")).first()[0] or 0
-    share = F.col("of_source") / F.lit(float(max(total, 1)))
+    picked = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"), column(source_col).cast("string").alias("source"))
+    encoded = work_table(_encoded(picked, path, end_id), "packing-ids")
+    # first level: ids of each source in each task; second level: what the tasks before it hold
+    sums = work_table(encoded.groupBy("source", "task").agg(F.sum("doc_tokens").alias("tokens")), "packing-sums")
+    total = sums.agg(F.sum("tokens")).first()[0] or 1
+    share, own = F.col("tokens") / float(total), F.col("tokens") * TAIL >= total
     if targets:
         given = F.create_map(*[F.lit(x) for k, v in targets.items() for x in (k, float(v) / sum(targets.values()))])
-        share = F.greatest(F.coalesce(given[F.col("source")], share), F.lit(1e-6))
-    sums = sums.select("source", "task", "before", (share * WINDOW).alias("quantum")).withColumnsRenamed({"source": "source2", "task": "task2"})
-    sums = work_table(sums, "packing-queues")
-    meta = lambda *more: pieces.select("task", "number", "source", "length", "end", *more).join(sums, (F.col("task") == F.col("task2")) & F.col("source").eqNullSafe(F.col("source2"))).withColumn("round", F.ceil((F.col("before") + F.col("end")) / F.col("quantum") - F.lit(1e-9)).cast("long"))
-    rounds = meta().groupBy("round").agg(F.sum("length").alias("tokens")).withColumn("block", F.floor(F.col("round") / ROUND_BLOCK))
-    rounds = work_table(rounds, "packing-rounds")
-    blocks = rounds.groupBy("block").agg(F.sum("tokens").alias("tokens"))
-    blocks = blocks.select(F.col("block").alias("block2"), (F.sum("tokens").over(Window.orderBy("block")) - F.col("tokens")).alias("block_before"))
-    within = Window.partitionBy("block").orderBy("round")
-    placed = rounds.select("block", F.col("round").alias("round2"), (F.sum("tokens").over(within) - F.col("tokens")).alias("round_before")).join(blocks, F.col("block") == F.col("block2"))
-    placed = placed.select("round2", (F.col("round_before") + F.col("block_before")).alias("first"))
-    # a round's pieces come to one task: a window's worth of tokens and one piece per queue at most
-    order = Window.partitionBy("round").orderBy("source", "task", "number")
-    inside = meta("doc_id", "start", "doc_tokens", "ids").withColumn("inside", F.sum("length").over(order) - F.col("length"))
-    ready = inside.join(placed, F.col("round") == F.col("round2")).select("doc_id", "ids", "start", "length", "doc_tokens", (F.col("inside") + F.col("first")).alias("place"))
-    kind = picked.schema[0].dataType.simpleString()
-    return ready.mapInArrow(_placed, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+        share, own = F.coalesce(given[F.col("source")], share), own | given[F.col("source")].isNotNull()
+    tail = F.format_string("tail %d", F.pmod(F.xxhash64("source"), F.lit(TAIL)))
+    name = F.when(own & F.col("source").isNull(), F.lit("no source")).when(own, F.concat(F.lit("source "), F.col("source"))).otherwise(tail)
+    sources = sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).select(F.col("source").alias("source2"), name.alias("name"), share.alias("share"), "tokens")
+    sources = work_table(sources, "packing-sources")
+    queues = sources.groupBy("name").agg(F.sum("tokens").alias("tokens"), F.sum("share").alias("share")).orderBy("name").collect()
+    schedule = Schedule([r["tokens"] for r in queues], [r["share"] for r in queues])
+    number = F.array_position(F.lit([r["name"] for r in queues]), F.col("name")).cast("int") - 1
+    named = sums.join(sources.drop("tokens"), F.col("source").eqNullSafe(F.col("source2"))).select("source", "task", "tokens", number.alias("queue"))
+    before = F.sum("tokens").over(Window.partitionBy("queue").orderBy("task", "source")) - F.col("tokens")
+    bases = work_table(named.select(F.col("source").alias("source3"), F.col("task").alias("task3"), "queue", before.alias("before")), "packing-bases")
+    ready = encoded.join(bases, (F.col("task") == F.col("task3")) & F.col("source").eqNullSafe(F.col("source3")))
+    run, schema = _placed(schedule, picked.schema[0].dataType.simpleString())
+    return ready.select("doc_id", "ids", "queue", (F.col("before") + F.col("end")).alias("end"), "doc_tokens").mapInArrow(run, schema)
