@@ -66,6 +66,26 @@ def work_table(df: DataFrame, name: str, sort: list[str] | None = None, partitio
     return back
 
 
+#: A hub holds more than one in so many of all rows: so there are fewer hubs than this, whatever the input.
+HUBS = 10_000
+
+
+def hub_join(rows: DataFrame, facts: DataFrame, key: str, least: int = 256) -> DataFrame:
+    """rows with the columns of facts, a work table that has one row per key, and in c the number of its rows.
+
+    The facts of hubs, fewer than HUBS, are broadcast to their rows; no other key has enough rows to burden a task.
+    """
+    total = facts.agg(F.sum("c")).first()[0] or 0
+    facts = facts.withColumnRenamed(key, "key2")
+    hub = F.col("c") > max(least, total // HUBS)
+    same = F.col(key) == F.col("key2")
+    hubs = facts.where(hub)
+    if hubs.isEmpty():
+        return rows.join(facts, same).drop("key2")
+    others = rows.join(F.broadcast(hubs.select("key2")), same, "left_anti").join(facts.where(~hub), same)
+    return rows.join(F.broadcast(hubs), same).unionByName(others).drop("key2")
+
+
 def drop_work(df: DataFrame) -> None:
     """Deletes a work table that nothing reads any more."""
     if path := getattr(df, "_work_path", None):
@@ -137,3 +157,15 @@ def tidy(*forget) -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except OSError:  # another C library: nothing to trim
         pass
+
+
+def parts_of(batch, place: int, size: int = 4 << 20):
+    """Slices of a batch whose texts have about size bytes."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    until = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False)) // size
+    cuts = [0, *(np.flatnonzero(np.diff(until)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)

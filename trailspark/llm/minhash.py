@@ -30,11 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_work, work_table
+from .common import boxed, column, drop_work, hub_join, parts_of, text_hash, tidy, unboxed, work_table
 from .graph import components
 
 WORDS, M, K = 5, 10, 3
-SMALL, GROUP, MEMORY = 16, 256, 400_000
+#: MEMORY: distinct words that a worker remembers; PART_BYTES: bytes of text whose sets it holds at once.
+SMALL, GROUP, MEMORY, PART_BYTES = 16, 256, 200_000, 1 << 20
+#: Holders of a token that are compared in one task; a token with more is split into pairs of such blocks.
+TOKEN_BLOCK = 256
 #: Parity bitmaps of 256 bits, as columns of 64.
 BITS = ("b0", "b1", "b2", "b3")
 #: Up to so many candidate classes (16 bytes each) are broadcast to pick their texts; more are joined by shuffle.
@@ -117,8 +120,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
         shingler = Shingler(words)
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
+            for batch in parts_of(whole, 1, PART_BYTES):
                 sets = [shingler.set_of(t.as_py()) for t in batch.column(1)]
                 full = [s for s in sets if len(s)]
                 keys = iter(_signed(bands(minhashes(full))).tolist() if full else [])
@@ -134,6 +136,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     ],
                     ["doc_id", "n_shingles", "node", "a", "b", "text_hash"],
                 )
+        tidy(shingler.known.clear)
 
     kind = docs.schema[0].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, node binary, a array<long>, b array<long>, text_hash long")
@@ -154,8 +157,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
         shingler = Shingler(words)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in parts_of(whole, 1, PART_BYTES):
                 sets = [shingler.set_of(t.as_py()) for t in batch.column(1)]
                 nodes = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 keep = [i for i, node in enumerate(nodes) if node == batch.column(0)[i].as_py()]
@@ -164,6 +166,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     [pa.array([nodes[i] for i in keep], pa.binary()), pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary()), *(pa.array(b, pa.int64()) for b in bits)],
                     ["node", "n", "set", *BITS],
                 )
+        tidy(shingler.known.clear)
 
     few = wanted.count() <= BROADCAST_ROWS
     picked = wanted.select("node", F.col("doc_id").alias("id2"))
@@ -197,13 +200,18 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     out[1].append(whole.column(3)[i].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["u", "v"])
 
-    salted = pairs.withColumn("g", F.pmod(F.xxhash64("u", "v"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("u")) / GROUP)).cast("int"))
+    # a pivot with many partners is many groups, each with the pivot's set
+    degrees = work_table(pairs.groupBy("u").agg(F.count(F.lit(1)).alias("c")), "degrees")
+    salted = hub_join(pairs, degrees, "u", GROUP).select("u", "v", F.pmod(F.xxhash64("u", "v"), F.ceil(F.col("c") / GROUP)).cast("int").alias("g"))
     salted = work_table(salted, "pairs")
     heads = salted.select("u", "g").distinct().select("u", "g", F.lit(0).alias("o"), F.col("u").alias("v"))
     rows = salted.select("u", "g", F.lit(1).alias("o"), "v").union(heads)
     with_sets = rows.join(sets.select(F.col("node").alias("v2"), "set"), F.col("v") == F.col("v2")).select("u", "g", "o", "v", "set")
     dealt = with_sets.repartition("u", "g").sortWithinPartitions("u", "g", "o")
-    return work_table(dealt.mapInArrow(run, "u binary, v binary"), "links")
+    links = work_table(dealt.mapInArrow(run, "u binary, v binary"), "links")
+    drop_work(salted)
+    drop_work(degrees)
+    return links
 
 
 def _like(percent: int, n: str, m: str):
@@ -243,23 +251,29 @@ def _prefix_pairs(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     often = all_tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f")).withColumnRenamed("t", "t2")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("f", "t"))
     # a set of n keeps its n - ceil(.85 n) + 1 rarest tokens
-    prefix = all_tokens.join(often, F.col("t") == F.col("t2")).where("f > 1 or n = 1").withColumn("r", rank)
-    skipped = all_tokens.join(often, F.col("t") == F.col("t2")).where("f = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone")).withColumnRenamed("node", "node2")
-    prefix = prefix.join(skipped, F.col("node") == F.col("node2"), "left").withColumn("pos", F.col("r") + F.coalesce("alone", F.lit(0)) - 1)
-    prefix = prefix.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
+    with_often = work_table(all_tokens.join(often, F.col("t") == F.col("t2")).select("node", "n", "t", "f"), "tokens")
+    drop_work(all_tokens)
+    # those that nobody else holds come first, and no pair can share them
+    ranked = with_often.withColumn("pos", rank - 1).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).where("f > 1")
     marked = hot.join(sets.select("node", *BITS), "node")
-    held = work_table(prefix.join(marked, "node").select("t", "node", "n", "root", "pos", *BITS), "prefixes")
-    split = held.groupBy("t").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("t")
-    x = held.join(split, "t", "left_semi")
-    y = x.select("t", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("root2"), F.col("pos").alias("pos2"), *(F.col(b).alias(f"other_{b}") for b in BITS))
+    held = work_table(ranked.join(marked, "node").select("t", "f", "node", "n", "root", "pos", *BITS), "prefixes")
+    drop_work(with_often)
+    split = held.groupBy("t").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("h")).where("r1 <> r2")
+    # the holders of a token are dealt into blocks, and pairs of blocks are compared, each in its own group
+    blocks = F.ceil(F.col("h") / TOKEN_BLOCK).cast("int")
+    x = held.join(split.select(F.col("t").alias("t2"), blocks.alias("blocks")), F.col("t") == F.col("t2")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    x = work_table(x.select("t", "node", "n", "root", "pos", "blocks", "mine", *BITS), "prefixes")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    y = x.select("t", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("root2"), F.col("pos").alias("pos2"), F.col("mine").alias("other"), every.alias("mine"), *(F.col(b).alias(f"other_{b}") for b in BITS))
+    x = x.withColumn("other", every)
     # what follows the first common token in either order bounds what they can share; later common tokens only bound it more
     reach = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2")) * (100 + percent) >= percent * (F.col("n") + F.col("m"))
-    return x.join(y, "t").where((F.col("node") < F.col("v")) & (F.col("root") != F.col("root2")) & _like(percent, "n", "m") & reach & _differ(percent, "n", "m")).select(F.col("node").alias("u"), "v").distinct()
+    return x.join(y, ["t", "mine", "other"]).where((F.col("node") < F.col("v")) & (F.col("root") != F.col("root2")) & _like(percent, "n", "m") & reach & _differ(percent, "n", "m")).select(F.col("node").alias("u"), "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and text_hash of every row. Made for thresholds of .8 and more."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
+    docs = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"), text_hash(column(text_col)).alias("text_hash"))
     signed = work_table(signatures(docs, words), "signatures")
     first = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
     classes = work_table(first.select("node", "doc_id", "n", "a", "b"), "classes")
@@ -275,6 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = members.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
     pairs = work_table(_plausible(pairs, sets, percent), "pairs")
     links = _verify(pairs, sets, percent)
+    drop_work(shared)
     roots = work_table(components(links), "roots").withColumnRenamed("node", "node2")
     rooted = members.join(roots, F.col("node") == F.col("node2"), "left").select("key", "node", "n", "size", F.coalesce("root", "node").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
@@ -304,6 +319,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """docs without the rows that are not kept. A row is known by its id and text; rows that repeat both stay or go together."""
-    gone = near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_hash")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__gone")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__gone_hash"))
-    return docs.join(gone, same, "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col("doc_id").alias("id2"), F.col("text_hash").alias("th2")).distinct()
+    same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))
+    return unboxed(boxed(docs, id_col, text_col).join(gone.hint("shuffle_hash"), same, "left_anti"), docs)

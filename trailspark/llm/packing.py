@@ -28,11 +28,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, tidy, work_table
+from .common import column, parts_of, tidy, work_table
 
 WINDOW, GRAIN, TAIL, END_ID = 2048, 16, 64, 1
-#: Pieces of words whose ids a worker remembers, and bytes of text that it splits at once.
-MEMORY, PART_BYTES = 300_000, 4 << 20
+#: Pieces of words whose ids a worker remembers.
+MEMORY = 300_000
 #: Letters whose lower case is one letter and that normalisation leaves alone, and signs that may close them (no apostrophe, and none that special tokens begin with).
 SIMPLE = "^(?P<stem>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)(?P<mark>[!-&(-/:;=?@\\[-`{}~]*)$"
 
@@ -136,17 +136,6 @@ def encoder(path: str | None) -> WordIds:
     return _encoders[path]
 
 
-def parts_of(batch, place: int, size: int = PART_BYTES):
-    """Slices of a batch whose texts have about size bytes."""
-    import pyarrow.compute as pc
-
-    until = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False)) // size
-    cuts = [0, *(np.flatnonzero(np.diff(until)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def _encoded(docs: DataFrame, path: str | None, end_id: int) -> DataFrame:
     """One row per document: task, source, doc_id, its ids, their number, and the source's ids up to its end within the task."""
 

@@ -24,14 +24,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import work_table
+from .common import parts_of, tidy, work_table
 
 MAX_DOCS, MAX_POSITIVE, MAX_NEGATIVE = 12_000, 600, 40_000
 #: A positive unit is in this share of the documents labelled 1 at least: near copies of one document are not enough.
 MIN_SHARE = 0.01
 HARD_NEGATIVE = 1_000
 ORDER, DECAY, LANDMARKS, LONGEST = 3, 0.4, 80, 20
-MEMORY, BLOCK = 400_000, 4_000
+MEMORY, BLOCK = 200_000, 4_000
 _NOT_ALNUM = re.compile(r"[\W_]+")
 _SINGLES = re.compile(r"(?:(?<=\s)|^)(?:[^\W_][\s.\-_*]{1,2}){2,}[^\W_](?=\s|$)")
 
@@ -313,9 +313,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            scores = [model.score(m) for at in range(0, batch.num_rows, 1000) for m in model.margins(batch.column(1).slice(at, 1000).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+        for whole in batches:
+            for batch in parts_of(whole, 1):
+                scores = [model.score(m) for m in model.margins(batch.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+        tidy(model.known.clear)
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, score double")
@@ -328,10 +330,10 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float, text_col: str =
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+        for whole in batches:
+            for part in parts_of(whole, place):
                 yield part.filter(pa.array([model.score(m) < threshold for m in model.margins(part.column(place).to_pylist())], pa.bool_()))
+        tidy(model.known.clear)
 
     return docs.mapInArrow(run, docs.schema)
 
