@@ -62,6 +62,17 @@ def test_url_trees_learn(spark):
     assert sum(got[u] == ("block" if y else "allow") for u, y in rows[300:]) >= 98
 
 
+def test_url_trees_on_held_out_rules_and_clashing_names(spark):
+    draw = random.Random(6)
+    hosts = ["a.com", "b.net", "x.org", "example.com", "q.example.net"]
+    rows = [(i, f"http://h{i % 40}.{draw.choice(hosts)}/{draw.choice(['en', 'de', 'es'])}/{draw.randrange(10_000)}?a={i % 3}", "b") for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, __host string")
+    found = url_filter.held_out_accuracy(pages)
+    assert found["blocked_right"] > 0.7 * found["blocked"] and found["allowed_right"] > 0.7 * found["allowed"] > 0
+    got = url_filter.judge_urls(pages)
+    assert got.columns == ["page_id", "url", "__host", "___host", "__path", "__rule", "__verdict", "__score"] and got.where("__host = 'b' and ___host like 'h%'").count() == 3000
+
+
 def test_url_suffixes_count_all_rows(spark, monkeypatch):
     from pyspark.sql import functions as F
 
@@ -76,13 +87,15 @@ def test_url_suffixes_count_all_rows(spark, monkeypatch):
         suffix = ".".join(u.split("/")[2].split(".")[-2:])
         seen[suffix] += 1
         blocked[suffix] += y
-    assert prior == sum(y for _, y in rows) / len(rows)
+    blocks = sum(y for _, y in rows)
+    heavy, light = len(rows) / (2 * blocks), len(rows) / (2 * (len(rows) - blocks))
+    assert prior == 0.5
     assert {r["__suffix"]: r["__seen"] for r in suffixes.collect()} == seen
     made = url_filter.with_features(split, suffixes, prior).collect()
     assert len(made) == len(rows)
     for r in made:
         suffix = ".".join(r["__host"].split(".")[-2:])
-        assert math.isclose(r["__f_suffix_rate"], (blocked[suffix] + 4 * prior) / (seen[suffix] + 4)) and math.isclose(r["__f_suffix_seen"], math.log1p(seen[suffix]))
+        assert math.isclose(r["__f_suffix_rate"], (blocked[suffix] * heavy + 2) / (blocked[suffix] * heavy + (seen[suffix] - blocked[suffix]) * light + 4)) and math.isclose(r["__f_suffix_seen"], math.log1p(seen[suffix]))
 
 
 def test_kernel_is_the_sum_over_subsequences():

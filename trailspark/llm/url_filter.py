@@ -1,19 +1,20 @@
 """Operator 1, URL filters: rules first, gradient-boosted trees on lexical features for the rest.
 
-The trees are trained from labelled URLs: those that a rule decides (or a given table of labels). Most labels say
-block, so a model of them alone would block nearly everything; the URLs that no rule decides therefore count as
-weak allow examples (weight ``BACKGROUND``), and the trees learn where blocked URLs are denser than the rest. Training is
+The trees are trained from labelled URLs alone: those that a rule decides, or a given table of labels. As most rules
+say block, both labels get the same total weight. Training is
 histogram boosting written as DataFrame aggregations: the labelled sample is binned and grouped to distinct binned
 vectors, and each level of each tree is one aggregation of gradients by (node, feature, bin), of which at most
 nodes x features x bins rows reach the driver. The finished trees are a CASE expression over the scanned rows.
 
-``MAX_LABELLED`` bounds the sample that the trees are fitted on: labelled rows are kept where a hash of their URL falls
-below MAX_LABELLED / n, so about that many stay, whatever the size of the table. The suffix statistics count all labelled
+``MAX_LABELLED`` bounds the sample that the trees are fitted on: labelled URLs, each once, are kept where their hash
+falls below MAX_LABELLED / n, so about that many stay at most, whatever the size of the table. The suffix statistics count all labelled
 rows. Suffixes with 1 / ``HOT`` of them or more, which are HOT at most, are joined by broadcast; the others by a shuffle,
 in which none is large.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path; with no labelled URLs of both kinds
-everything that no rule decides is allowed; repeated rows are judged alike.
+everything that no rule decides is allowed; repeated rows are judged alike; of rules that fit, the longest decides, and
+of equally long ones the first by name; a score of the threshold blocks; an empty table gives no rows; extra columns are
+kept, and where they have the names of new ones, those get more underscores.
 Native: DataFrame functions only.
 """
 
@@ -22,14 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, drop_work, work_table
+from .common import ascii_lower, column, drop_work, free, unboxed, work_table
 
 #: (verdict, host and path); the longest that fits wins.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 MAX_LABELLED, BINS, TREES, DEPTH, RATE, RIDGE = 20_000, 12, 12, 3, 0.3, 1.0
-BACKGROUND = 0.5
 HOT = 10_000
-FEATURES = ("url_length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "digits", "entropy", "parameters", "hyphens", "leading_digit", "suffix_rate", "suffix_seen")
+FEATURES = ("url_length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "digits", "entropy", "parameters", "hyphens", "suffix_rate", "suffix_seen")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -52,8 +52,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def suffix_of(host: Column) -> Column:
-    """The last two labels of the host, the last 64 characters at most."""
-    return F.substring(F.substring_index(host, ".", -2), -64, 64)
+    """The last two labels of the host."""
+    return F.substring_index(host, ".", -2)
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -71,7 +71,6 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     return {
         "url_length": F.length(url), "host_length": F.length(host), "path_length": F.length(path), "depth": _count(path, "/"), "host_labels": _count(host, "."),
         "digit_ratio": _count(url, "0123456789") / n, "digits": _count(path, "0123456789"), "entropy": F.round(entropy, 9), "parameters": F.when(query != "", _count(query, "&") + 1).otherwise(0), "hyphens": _count(url, "-"),
-        "leading_digit": F.coalesce(F.expr("try_cast(regexp_extract(__path, '/([0-9])[^/]*/?$', 1) as int)"), F.lit(-1)),
     }
 
 
@@ -177,19 +176,21 @@ def grow(binned: DataFrame, cuts: list[list[float]], trees: int = TREES, depth:
 
 
 def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[Trees | None, DataFrame, float]:
-    """labelled: __url, __host, __path, __y (1: block), __w (weight). The model (None without both labels), the statistics of all suffixes, prior."""
+    """labelled: __url, __host, __path, __y (1: block). The model (None without both labels), the statistics of all suffixes, prior."""
     spark = labelled.sparkSession
-    counts = labelled.groupBy(suffix_of(F.col("__host")).alias("__suffix")).agg(F.count(F.lit(1)).alias("__seen"), F.sum("__y").alias("y"), F.sum("__w").alias("w"), F.sum(F.col("__y") * F.col("__w")).alias("yw"))
+    counts = labelled.groupBy(suffix_of(F.col("__host")).alias("__suffix")).agg(F.count(F.lit(1)).alias("__seen"), F.sum("__y").alias("y"))
     counts = work_table(counts, "url-suffixes")
-    n, blocked, weight, blocked_weight = counts.agg(F.sum("__seen"), F.sum("y"), F.sum("w"), F.sum("yw")).first()
+    n, blocked = counts.agg(F.sum("__seen"), F.sum("y")).first()
     empty = spark.createDataFrame([], "__suffix string, __rate double, __seen long, __hot boolean")
     if not n or not blocked or blocked == n:
         return None, empty, 0.5
-    prior = blocked_weight / weight
-    suffixes = counts.select("__suffix", ((F.col("yw") + 4 * prior) / (F.col("w") + 4)).alias("__rate"), "__seen", (F.col("__seen") * HOT >= n).alias("__hot"))
+    prior, heavy, light = 0.5, n / (2 * blocked), n / (2 * (n - blocked))
+    block, allow = F.col("y") * heavy, (F.col("__seen") - F.col("y")) * light
+    suffixes = counts.select("__suffix", ((block + 4 * prior) / (block + allow + 4)).alias("__rate"), "__seen", (F.col("__seen") * HOT >= n).alias("__hot"))
     below = min(1.0, max_labelled / n)
     unit = F.pmod(F.xxhash64("__url"), F.lit(1 << 20)) / float(1 << 20)
-    sample = work_table(labelled.where(unit < below), "url-labelled")
+    weighed = labelled.where(unit < below).groupBy("__url", "__host", "__path", "__y").agg(F.count(F.lit(1)).alias("c"))
+    sample = work_table(weighed.withColumn("__w", F.col("c") * F.when(F.col("__y") == 1, heavy).otherwise(light)).drop("c"), "url-labelled")
     taken, taken_blocked = sample.agg(F.count(F.lit(1)), F.sum("__y")).first()
     if not taken or not taken_blocked or taken_blocked == taken:
         return None, empty, 0.5
@@ -206,24 +207,46 @@ def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[Trees
     return model, suffixes, prior
 
 
-def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url", labelled: DataFrame | None = None, max_labelled: int = MAX_LABELLED, threshold: float = 0.5, background: float = BACKGROUND) -> DataFrame:
+def _known(pages: DataFrame, url_col: str, rules) -> DataFrame:
+    """The columns of pages in their box, with __url, __host, __path, __rule and __says."""
+    url = column(url_col)
+    host, path = host_and_path(url)
+    split = pages.select(F.struct(*map(column, pages.columns)).alias(free(pages, "box")), F.coalesce(url, F.lit("")).alias("__url"), host.alias("__host"), path.alias("__path"))
+    rule, says = rule_of(F.col("__host"), F.col("__path"), rules)
+    return split.withColumn("__rule", rule).withColumn("__says", says)
+
+
+def _taught(known: DataFrame) -> DataFrame:
+    return known.where("__says is not null").select("__url", "__host", "__path", (F.col("__says") == "block").cast("int").alias("__y"))
+
+
+def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url", labelled: DataFrame | None = None, max_labelled: int = MAX_LABELLED, threshold: float = 0.5) -> DataFrame:
     """pages with __host, __path, __rule, __verdict and __score (the trees' chance of block).
 
     labelled: (url, label) with label 1 for block; by default the URLs that a rule decides.
     """
-
-    def split_up(df: DataFrame, url: str) -> DataFrame:
-        host, path = host_and_path(F.col(f"`{url}`"))
-        return df.withColumns({"__url": F.coalesce(F.col(f"`{url}`"), F.lit("")), "__host": host, "__path": path})
-
-    rule, says = rule_of(F.col("__host"), F.col("__path"), rules)
-    known = split_up(pages, url_col).withColumn("__rule", rule).withColumn("__says", says)
+    known = _known(pages, url_col, rules)
     if labelled is None:
-        taught = known.select("__url", "__host", "__path", F.coalesce(F.col("__says") == "block", F.lit(False)).cast("int").alias("__y"), F.when(F.col("__rule").isNull(), background).otherwise(1.0).alias("__w"))
+        taught = _taught(known)
     else:
-        taught = split_up(labelled, "url").select("__url", "__host", "__path", F.col("label").cast("int").alias("__y"), F.lit(1.0).alias("__w"))
+        host, path = host_and_path(F.col("url"))
+        taught = labelled.where("label is not null").select(F.coalesce("url", F.lit("")).alias("__url"), host.alias("__host"), path.alias("__path"), F.col("label").cast("int").alias("__y"))
     model, suffixes, prior = train(taught, max_labelled)
     featured = with_features(known, suffixes, prior)
     score = F.lit(0.0) if model is None else model.score([F.col(f"__f_{k}") for k in FEATURES])
-    verdict = F.coalesce("__says", F.when(score >= threshold, "block").otherwise("allow"))
-    return featured.select(*[F.col(f"`{c}`") for c in pages.columns], "__host", "__path", "__rule", verdict.alias("__verdict"), score.alias("__score"))
+    scored = featured.withColumn("__score", score)
+    verdict = F.coalesce("__says", F.when(F.col("__score") >= threshold, "block").otherwise("allow"))
+    return unboxed(scored, pages, __host=F.col("__host"), __path=F.col("__path"), __rule=F.col("__rule"), __verdict=verdict, __score=F.col("__score"))
+
+
+def held_out_accuracy(pages: DataFrame, rules=RULES, url_col: str = "url", fold: int = 4, threshold: float = 0.5) -> dict[str, float]:
+    """The trees alone against the rules' verdicts on every fold-th distinct URL (by crc32) that they were not trained on."""
+    taught = _taught(_known(pages, url_col, rules))
+    out = F.crc32(F.col("__url").cast("binary")) % fold == 2
+    model, suffixes, prior = train(taught.where(~out))
+    tested = with_features(taught.where(out), suffixes, prior)
+    score = F.lit(0.0) if model is None else model.score([F.col(f"__f_{k}") for k in FEATURES])
+    says = (score >= threshold).cast("int")
+    r = tested.select("__y", says.alias("s")).groupBy("__y").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("s") == F.col("__y")).cast("int")).alias("right")).collect()
+    by = {x["__y"]: (x["n"], x["right"]) for x in r}
+    return {"blocked": by.get(1, (0, 0))[0], "blocked_right": by.get(1, (0, 0))[1], "allowed": by.get(0, (0, 0))[0], "allowed_right": by.get(0, (0, 0))[1]}
