@@ -123,6 +123,65 @@ def test_pii_rare_entities_have_terms(spark):
     assert [hidden[1020 + i] for i in range(3)] == [f"own{i} [TERM] person [EMAIL] about" for i in range(3)]
 
 
+def redacted_by_hand(text, spans):
+    out, at = "", 0
+    for a, k, b in sorted(spans):
+        if a >= at:
+            out += text[at:a] + list(pii.LABELS.values())[k]
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_pii_many_matches_long_gaps_and_clashing_names(spark):
+    """Linear in a text's matches; overlaps, block borders and wide characters against plain Python."""
+    import random
+    import time
+
+    draw = random.Random(9)
+    many = " ".join(f"é😀 {draw.choice(['x', 'word' * 9])} u{i}@m{i % 7}.example.com 10.0.{i % 256}.{i % 300}" for i in range(4000))
+    overlap = "a1@2.3.4.5.6 " * 300 + "é" * 5000 + " b@c.de " + "+1 (415) 555-0000" + "x" * 9000
+    names = "id th near opaque contexts box hide id2 th2 __redacted".split()
+    rows = [(1, many, *["c"] * len(names)), (2, overlap, *["c"] * len(names)), (3, 'token = "04dbebab91ab85687d33eeaaf9ac" and averylongwordwithoutadigitinside', *["c"] * len(names))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    began = time.time()
+    pii.redact(d).collect()
+    took = time.time() - began
+    assert took < 60, took
+    got = {r["doc_id"]: r for r in pii.redact(d, min_disclosure=2).collect()}
+    for i, text in ((1, many), (2, overlap)):
+        spans = [(int(a), list(BASE).index(k), int(b)) for k, a, b in (s.split(":") for s in base_spans(text).split(","))]
+        assert got[i]["___redacted"] == redacted_by_hand(text, spans) and got[i]["__redacted"] == got[i]["box"] == "c"
+    assert got[3]["___redacted"] == 'token = "[TERM]" and averylongwordwithoutadigitinside'
+
+
+def test_pii_disclosure_by_hand(spark):
+    """Every disclosure against counts of documents in plain Python."""
+    import math
+    import random
+
+    draw = random.Random(4)
+    rows = [(i, " ".join(draw.choices("one two three four five six seven".split(), k=12)) + (f" {draw.choice(['zed', 'qux', 'one'])} p{i % 5}@d{i % 2}.example two" if i % 4 == 0 else "")) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["entity"], r["term"]): r["disclosure"] for r in pii.disclosing_terms(d, pii.found_table(d), min_disclosure=0.05).collect()}
+    near, docs_of, held = {}, {}, Counter()
+    for i, text in rows:
+        held.update({w for w in re.findall(r"[^\W_]+", text)})
+        for m in re.finditer(BASE["email"], text):
+            words = [*re.findall(r"[^\W_]+", text[: m.start()])[-8:], *re.findall(r"[^\W_]+", text[m.end() :])[:8]]
+            for e in (f"0:{m[0]}", "0:@" + m[0].split("@")[1]):
+                docs_of.setdefault(e, set()).add(i)
+                for w in set(words):
+                    near.setdefault((e, w), []).append((i, tuple(words)))
+    want = {}
+    for (e, w), seen in near.items():
+        both, n_e = len({i for i, _ in seen}), len(docs_of[e])
+        support = len({c for _, c in seen})
+        pmi = math.log(both * len(rows) / (held[w] * n_e)) - (0 if support >= pii.MIN_SUPPORT else pii.SURE / math.sqrt(support))
+        if (x := pmi / math.log(len(rows) / n_e)) >= 0.05:
+            want[e, w] = x
+    assert want and got == pytest.approx(want)
+
+
 def test_bpe(docs, empty):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(bpe.default_path())

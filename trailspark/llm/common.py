@@ -129,10 +129,6 @@ def unboxed(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
     return made.select(*(F.col(box).getField(c).alias(c) for c in docs.columns), *(F.col(f"{box}_{i}").alias(free(docs, name)) for i, name in enumerate(new)))
 
 
-def row_key(id_col: str, text_col: str) -> list[Column]:
-    return [F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__th")]
-
-
 def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 

@@ -57,7 +57,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_pii(docs)
     count = [pii.count_kind(F.col("spans"), k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS[:4])]
-    return found.select("doc_id", *count, F.sha2(pii.span_text(F.col("spans")), 256).alias("base_sha256"), pii.span_text(F.col("all_spans")).alias("spans"))
+    return found.select("doc_id", *count, F.sha2(pii.span_text(F.col("spans")), 256).alias("base_sha256"), pii.span_text(F.col("all_spans")).alias("spans"), F.size("all_spans").cast("long").alias("n_spans"))
 
 
 def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
