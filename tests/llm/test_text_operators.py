@@ -204,6 +204,14 @@ def test_bpe_words():
     assert [g[1] for g in own.encode(texts)] == [",".join(map(str, x.ids)) for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_characters_of_other_unicode_tables():
+    tokenizers = pytest.importorskip("tokenizers")
+    library, own = tokenizers.Tokenizer.from_file(bpe.default_path()), bpe.Encoder(bpe.default_path())
+    plain = [c for c in range(0x20000) if not 0xD800 <= c < 0xE000] + list(range(0x2A6D0, 0x2A710)) + list(range(0x31340, 0x323C0)) + list(range(0xE0000, 0xE0200))
+    texts = [f"{c}'s 1{c}1 {c}!a{c} {c}" for c in map(chr, plain)]
+    assert all(a[1] == ",".join(map(str, b.ids)) for at in range(0, len(texts), 20_000) for a, b in zip(own.encode(texts[at : at + 20_000]), library.encode_batch(texts[at : at + 20_000], add_special_tokens=False), strict=True))
+
+
 def test_packing(docs, empty):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(packing.default_path())
@@ -281,6 +289,40 @@ def test_media_columns(spark):
     assert rows["b"]["problem"] and rows["c"]["problem"] == "no moov box" and rows["d"]["codec"] is None
 
 
+def test_media_malformed_files_are_problems(spark):
+    """Every cut and many changed bytes of a file, and tables that contradict the file: a problem or columns, never a failure."""
+    import random
+
+    whole = media.write_file(bytes(192 * 3))
+
+    def changed(kind, at, value):
+        place = whole.index(kind) + 4 + at
+        return whole[:place] + value + whole[place + len(value) :]
+
+    nested = b""
+    for _ in range(3000):
+        nested = media._box(b"moov", nested)
+    bad = [nested, changed(b"stsz", 8, b"\xff\xff\xff\xff"), changed(b"stsc", 8, bytes(4)), changed(b"stsc", 12, b"\xff" * 4), changed(b"stco", 8, b"\xff" * 4), changed(b"stts", 4, b"\xff" * 4), whole[: whole.index(b"mdat") - 4] + media._box(b"moof")]
+    for data in bad:
+        with pytest.raises(media.Malformed):
+            media.parse(data)
+    draw = random.Random(8)
+    files = [whole[:i] for i in range(0, len(whole), 3)]
+    for _ in range(1500):
+        data = bytearray(whole)
+        for _ in range(draw.randint(1, 3)):
+            data[draw.randrange(whole.index(b"mdat"))] = draw.choice([0, 1, 255, draw.randrange(256)])
+        files.append(bytes(data))
+    for data in files:
+        try:
+            info = media.parse(data)
+            assert sum(b - a for a, b in info["keyframes"]) <= info["media_bytes"] * len(info["keyframes"])
+        except (media.Malformed, struct.error):
+            pass
+    rows = media.media_columns(spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(bad + files[:200])], "path int, content binary")).collect()
+    assert len(rows) == len(bad) + 200 and all(r["problem"] for r in rows[: len(bad)])
+
+
 def test_token_counts(docs, empty):
     counter = token_counts.counter(None)
     pieces = token_counts.read_pieces(token_counts.default_path())

@@ -5,10 +5,13 @@ samples) into columns: codec, duration and the byte ranges of keyframes. The pay
 decoded. ``text_media`` is the query's form: each text is stored losslessly as uncompressed 8-bit grey frames of
 16 x 12 pixels (192 bytes a sample) in such a file, which is then read back through its sample tables.
 
-Defined cases: a null or empty file has no columns and the problem "no moov box"; a box that is cut off or a table
-that is too short gives nulls and a problem, not a failure; sizes of 0 (to the end) and 64-bit sizes are followed; a
-track without a sync table has keyframes only. A null text is empty and is padded to one sample of blanks. Every row
-is handled by itself, so repeated rows get equal values.
+Defined cases: a null or empty file has no columns and the problem "no moov box"; any malformed file (a box or table
+that is cut off, tables that contradict each other or the file's length, boxes nested deeper than ``DEPTH``) gives nulls
+and a problem, not a failure, and costs no more memory than a file of its length may; sizes of 0 (to the end) and 64-bit
+sizes are followed; of boxes of one kind the first counts; a track without a sync table has keyframes only; fragmented
+files, whose samples are in movie fragments, have the problem "fragmented". A null text is empty and is padded to one
+sample of blanks; an empty table gives no rows. Every row is handled by itself, so repeated rows get equal values. Extra
+columns are left out, and the others are taken by position.
 """
 
 from __future__ import annotations
@@ -17,10 +20,15 @@ import hashlib
 import struct
 import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame
 
+from .common import parts_of
+
 WIDTH, HEIGHT, RATE, CHUNK = 16, 12, 25, 64
 SAMPLE = WIDTH * HEIGHT
+#: Containers may be nested so deep; real files use eight levels.
+DEPTH = 32
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
 _MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
@@ -77,10 +85,13 @@ class Malformed(ValueError):
     pass
 
 
-def walk(data: memoryview, begin: int, end: int, path: tuple[bytes, ...] = ()):
-    """(path, body begin, body end) of every box; payload boxes are stepped over."""
-    at = begin
-    while at + 8 <= end:
+def walk(data: memoryview, begin: int, end: int):
+    """(path, body begin, body end) of every box, in order; payload boxes are stepped over."""
+    stack: list[tuple[int, int, tuple[bytes, ...]]] = [(begin, end, ())]
+    while stack:
+        at, end, path = stack.pop()
+        if at + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, at)
         head = 8
         if size == 1:
@@ -92,69 +103,93 @@ def walk(data: memoryview, begin: int, end: int, path: tuple[bytes, ...] = ()):
         if size < head or at + size > end:
             raise Malformed(f"cut off box {kind!r}")
         yield (*path, kind), at + head, at + size
+        stack.append((at + size, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, at + head, at + size, (*path, kind))
-        at += size
+            if len(path) >= DEPTH:
+                raise Malformed("boxes nested too deep")
+            stack.append((at + head, at + size, (*path, kind)))
+
 
+def _need(begin: int, end: int, size: int, name: str) -> None:
+    if end - begin < size:
+        raise Malformed(f"short {name}")
 
-def _rows(data: memoryview, begin: int, end: int, form: str) -> list[tuple]:
-    n = struct.unpack_from(">I", data, begin + 4)[0]
-    size = struct.calcsize(form)
-    if begin + 8 + n * size > end:
-        raise Malformed("short table")
-    return list(struct.iter_unpack(form, data[begin + 8 : begin + 8 + n * size]))
+
+def _rows(data: memoryview, span: tuple[int, int], name: str, *kinds: str) -> np.ndarray:
+    """A counted table of big-endian numbers, one row per entry."""
+    begin, end = span
+    _need(begin, end, 8, name)
+    n, kind = struct.unpack_from(">I", data, begin + 4)[0], np.dtype([(f"f{i}", k) for i, k in enumerate(kinds)])
+    _need(begin, end, 8 + n * kind.itemsize, name)
+    table = np.frombuffer(data, dtype=kind, count=n, offset=begin + 8)
+    return np.stack([table[f"f{i}"].astype(np.int64) for i in range(len(kinds))], axis=1) if n else np.empty((0, len(kinds)), dtype=np.int64)
 
 
 def parse(data: bytes) -> dict:
-    """codec, timescale, duration, width, height, n_samples, media_bytes, samples (place, size) and keyframes (begin, end)."""
+    """codec, timescale, duration, width, height, n_samples, media_bytes, places and sizes of samples (arrays) and keyframes (begin, end)."""
     view = memoryview(data)
     found: dict[bytes, tuple[int, int]] = {}
-    track = 0
+    track, fragmented = 0, False
     for path, begin, end in walk(view, 0, len(view)):
+        fragmented |= path == (b"moof",)
         if path == (b"moov", b"trak"):
             track += 1
         if path[0] == b"moov" and (len(path) < 2 or path[1] != b"trak" or track == 1):
             found.setdefault(path[-1], (begin, end))
     if b"moov" not in found:
         raise Malformed("no moov box")
+    if fragmented:
+        raise Malformed("fragmented")
     if missing := [k.decode() for k in (b"mdhd", b"stsd", b"stts", b"stsc", b"stsz") if k not in found]:
         raise Malformed("no " + ", ".join(missing))
-    begin, _ = found[b"mdhd"]
+    begin, end = found[b"mdhd"]
+    _need(begin, end, 20, "mdhd")
+    if view[begin] == 1:
+        _need(begin, end, 32, "mdhd")
     timescale, duration = struct.unpack_from(">IQ", view, begin + 20) if view[begin] == 1 else struct.unpack_from(">II", view, begin + 12)
     begin, end = found[b"stsd"]
-    if end - begin < 16:
-        raise Malformed("no sample entry")
+    _need(begin, end, 16, "stsd")
     codec = bytes(view[begin + 12 : begin + 16])
     width, height = struct.unpack_from(">HH", view, begin + 40) if end - begin >= 44 else (0, 0)
     begin, end = found[b"stsz"]
+    _need(begin, end, 12, "stsz")
     uniform, n = struct.unpack_from(">II", view, begin + 4)
-    if uniform:
-        sizes = [uniform] * n
-    elif begin + 12 + 4 * n > end:
-        raise Malformed("short table")
-    else:
-        sizes = list(struct.unpack_from(f">{n}I", view, begin + 12))
+    if not uniform:
+        _need(begin, end, 12 + 4 * n, "stsz")
+    elif uniform * n > len(view):
+        raise Malformed("samples beyond the end")
+    sizes = np.full(n, uniform, dtype=np.int64) if uniform else np.frombuffer(view, dtype=">u4", count=n, offset=begin + 12).astype(np.int64)
     wide = b"co64" in found
     if not wide and b"stco" not in found:
         raise Malformed("no stco")
-    chunks = [x for (x,) in _rows(view, *found[b"co64" if wide else b"stco"], ">Q" if wide else ">I")]
-    spans = _rows(view, *found[b"stsc"], ">III")
-    samples: list[tuple[int, int]] = []
-    for i, (first, each, _) in enumerate(spans):
-        until = spans[i + 1][0] if i + 1 < len(spans) else len(chunks) + 1
-        for chunk in range(first, min(until, len(chunks) + 1)):
-            at = chunks[chunk - 1]
-            for _ in range(each):
-                if len(samples) == n:
-                    break
-                samples.append((at, sizes[len(samples)]))
-                at += sizes[len(samples) - 1]
-    if len(samples) != n:
-        raise Malformed("samples without a chunk")
-    total = sum(count * delta for count, delta in _rows(view, *found[b"stts"], ">II"))
-    sync = [x for (x,) in _rows(view, *found[b"stss"], ">I")] if b"stss" in found else range(1, n + 1)
-    keys = [(samples[k - 1][0], sum(samples[k - 1])) for k in sync if 1 <= k <= n]
-    return {"codec": codec.decode("latin-1").strip(), "timescale": timescale, "duration": total or duration, "width": width, "height": height, "n_samples": n, "media_bytes": sum(sizes), "samples": samples, "keyframes": keys}
+    chunks = _rows(view, found[b"co64" if wide else b"stco"], "stco", ">u8" if wide else ">u4")[:, 0]
+    spans = _rows(view, found[b"stsc"], "stsc", ">u4", ">u4", ">u4")
+    first, each = spans[:, 0], spans[:, 1]
+    if len(first) and (first[0] != 1 or (np.diff(first) <= 0).any() or first[-1] > len(chunks)):
+        raise Malformed("chunks out of order")
+    per_chunk = np.repeat(each, np.diff(np.append(first, len(chunks) + 1))) if len(first) else np.empty(0, dtype=np.int64)
+    if per_chunk.sum() != n:
+        raise Malformed("chunks and sizes tell different numbers of samples")
+    chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)
+    until = np.cumsum(sizes) - sizes
+    head = np.cumsum(per_chunk) - per_chunk
+    places = chunks[: len(per_chunk)][chunk] + until - until[np.minimum(head, n - 1)][chunk] if n else np.empty(0, dtype=np.int64)
+    if n and ((places < 0).any() or (places + sizes > len(view)).any()):
+        raise Malformed("samples beyond the end")
+    times = _rows(view, found[b"stts"], "stts", ">u4", ">u4")
+    total = sum(count * delta for count, delta in times.tolist())
+    sync = _rows(view, found[b"stss"], "stss", ">u4")[:, 0] if b"stss" in found else np.arange(1, n + 1)
+    at = sync[(sync >= 1) & (sync <= n)] - 1
+    keys = list(zip(places[at].tolist(), (places + sizes)[at].tolist(), strict=True))
+    return {"codec": codec.decode("latin-1").strip(), "timescale": timescale, "duration": min(total or duration, 2**63 - 1), "width": width, "height": height, "n_samples": n, "media_bytes": int(sizes.sum()), "places": places, "sizes": sizes, "keyframes": keys}
+
+
+def read_back(stored: bytes, info: dict) -> bytes:
+    """The samples' bytes; runs of samples that lie end to end are read at once."""
+    places, sizes = info["places"], info["sizes"]
+    starts = np.flatnonzero(np.r_[True, places[1:] != (places + sizes)[:-1]]) if len(places) else np.empty(0, dtype=np.int64)
+    ends = np.r_[starts[1:], len(places)] - 1 if len(starts) else starts
+    return b"".join([stored[a:b] for a, b in zip(places[starts].tolist(), (places + sizes)[ends].tolist(), strict=True)])
 
 
 def feature(info: dict) -> str:
@@ -196,14 +231,14 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         import pyarrow as pa
 
         fields = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole, 1)):
             rows = []
             for text in batch.column(1):
                 raw = (text.as_py() or "").encode()
                 padded = raw.ljust(max(SAMPLE, -(-len(raw) // SAMPLE) * SAMPLE), b" ")
                 stored = write_file(padded)
                 info = parse(stored)
-                back = b"".join([stored[at : at + size] for at, size in info["samples"]])
+                back = read_back(stored, info)
                 rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(info)))
             columns = list(zip(*rows, strict=True)) or [()] * len(fields)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, (_, k) in zip(columns, fields, strict=True))], ["doc_id", *(n for n, _ in fields)])
