@@ -6,22 +6,31 @@ places at once and updates the lists of the pairs on both sides. Ranks whose new
 rank (the same string can come from two merges) are applied one place per pre-token at a time, which keeps the order
 of a word-by-word encoder. Every pre-token is encoded once per block and remembered, within a bound, by its worker.
 
+Pre-tokens are cut by the library's pattern. Characters that Python's own tables do not know may belong to another
+class in the library's; a text with any of them gets its pre-tokens from the library's pre-tokenizer itself.
+
 The vocabulary file's path is a parameter, opened on the executors. Special tokens written out in a text are their
-ids, as the public library does by default. Whole texts are encoded; a null text is empty; repeated rows are encoded
-alike; columns are taken by position, so that clashing names do no harm.
+ids, as the public library does by default. Whole texts are encoded; a null or empty text has no ids; repeated rows are
+encoded alike; of pairs with equal ranks (places of one pair) the leftmost is merged first; an empty table gives no rows;
+extra columns are left out, and the others are taken by position, so that clashing names do no harm.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
+from .common import parts_of, tidy
+
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Remembered pre-tokens of one worker, and characters of text that are encoded together.
 MEMORY, BLOCK_CHARS = 300_000, 8_000_000
@@ -33,6 +42,21 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.cache
+def unassigned() -> re.Pattern:
+    """A character without a category in Python's Unicode tables."""
+    ranges, begin = [], None
+    for c in range(0x110000):
+        if (unicodedata.category(chr(c)) == "Cn") != (begin is not None):
+            if begin is None:
+                begin = c
+            else:
+                ranges.append((begin, c - 1))
+                begin = None
+    ranges += [(begin, 0x10FFFF)] if begin is not None else []
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+
+
 def byte_alphabet() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -148,16 +172,27 @@ class Encoder:
     def __init__(self, path: str):
         self.bpe = PairIndexBpe(path)
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.path, self.library = path, None
         special = sorted(self.bpe.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.marks = {s: (str(i), 1, s.encode()) for s, i in self.bpe.special.items()}
 
+    def _pretokens(self, text: str) -> list[str]:
+        if text.isascii() or not unassigned().search(text):
+            return SPLIT.findall(text)
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path).pre_tokenizer
+            self.back = {c: b for b, c in byte_alphabet().items()}
+        return [bytes(map(self.back.__getitem__, piece)).decode() for piece, _ in self.library.pre_tokenize_str(text)]
+
     def pieces(self, text: str) -> list[str]:
         if self.cut is None or not any(s in text for s in self.marks):
-            return SPLIT.findall(text)
+            return self._pretokens(text)
         out: list[str] = []
         for part in self.cut.split(text):
-            out += [part] if part in self.marks else SPLIT.findall(part)
+            out += [part] if part in self.marks else self._pretokens(part) if part else []
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
@@ -207,13 +242,14 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         import pyarrow as pa
 
         enc = encoder(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole, 1, BLOCK_CHARS)):
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             rows = []
             for a, b in blocks(texts):
                 rows += [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) for n, ids, text in enc.encode(texts[a:b])]
             n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        tidy(enc.known.clear)
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
