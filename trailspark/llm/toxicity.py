@@ -31,7 +31,9 @@ MAX_DOCS, MAX_POSITIVE, MAX_NEGATIVE = 12_000, 600, 40_000
 MIN_SHARE = 0.01
 HARD_NEGATIVE = 1_000
 ORDER, DECAY, LANDMARKS, LONGEST = 3, 0.4, 80, 20
-MEMORY, BLOCK = 200_000, 4_000
+MEMORY, BLOCK = 200_000, 1_000
+#: Bytes of text that are scored at once.
+PART_BYTES = 2 << 20
 _NOT_ALNUM = re.compile(r"[\W_]+")
 _SINGLES = re.compile(r"(?:(?<=\s)|^)(?:[^\W_][\s.\-_*]{1,2}){2,}[^\W_](?=\s|$)")
 
@@ -314,7 +316,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         import pyarrow as pa
 
         for whole in batches:
-            for batch in parts_of(whole, 1):
+            for batch in parts_of(whole, 1, PART_BYTES):
                 scores = [model.score(m) for m in model.margins(batch.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
         tidy(model.known.clear)
@@ -331,7 +333,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float, text_col: str =
         import pyarrow as pa
 
         for whole in batches:
-            for part in parts_of(whole, place):
+            for part in parts_of(whole, place, PART_BYTES):
                 yield part.filter(pa.array([model.score(m) < threshold for m in model.margins(part.column(place).to_pylist())], pa.bool_()))
         tidy(model.known.clear)
 
