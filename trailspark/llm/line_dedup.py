@@ -25,9 +25,10 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower, boxed, column, drop_path, drop_work, free, let, shared_dir, text_hash, unboxed, work_table
+from .common import WHITE, ascii_lower, boxed, column, drop_path, drop_work, free, hub_join, let, shared_dir, text_hash, unboxed, work_table
 
-FANOUT, BATCHES = 2, 4
+#: Runs of a level, batches of a table, and lines of all documents for each bucket of a run.
+FANOUT, BATCHES, BUCKET_LINES = 2, 4, 1_000_000
 
 
 def split_lines(text: Column) -> Column:
@@ -47,14 +48,14 @@ def line_table(docs: DataFrame, batches: int = 1, min_chars: int = 1, id_col: st
     key = line_key(F.col("line"))
     batch = F.pmod(F.xxhash64("id", "th"), F.lit(batches)).cast("int").alias("batch")
     hashed = rows.select("row", "id", "th", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"), F.length(key).alias("n"), batch)
-    return work_table(hashed.where(F.col("n") >= min_chars).drop("n"), "lines", partition_by=["batch"])
+    return work_table(hashed.where(F.col("n") >= min_chars).drop("n"), "lines")
 
 
 class LineRuns:
     """The levelled runs; ``add`` takes a batch of lines, ``frequent`` gives the settled keys. ``close`` deletes them."""
 
-    def __init__(self, min_docs: int = 10, fanout: int = FANOUT):
-        self.min_docs, self.fanout, self.levels = min_docs, fanout, [[]]
+    def __init__(self, min_docs: int = 10, fanout: int = FANOUT, buckets: int = 8):
+        self.min_docs, self.fanout, self.buckets, self.levels = min_docs, fanout, buckets, [[]]
 
     def add(self, lines: DataFrame) -> None:
         """lines: rows (row, h1, h2) of documents that no earlier batch held."""
@@ -69,9 +70,9 @@ class LineRuns:
     def _write(self, counts: DataFrame) -> DataFrame:
         spark = counts.sparkSession
         name = f"line_run_{uuid.uuid4().hex}"
-        path, buckets = f"{shared_dir(spark)}/{name}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = counts.select("h1", "h2", "n").repartition(buckets, "h1", "h2")
-        dealt.write.bucketBy(buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).option("compression", "zstd").saveAsTable(name)
+        path = f"{shared_dir(spark)}/{name}"
+        dealt = counts.select("h1", "h2", "n").repartition(self.buckets, "h1", "h2")
+        dealt.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).option("compression", "zstd").saveAsTable(name)
         run = spark.table(name)
         run._work_path, run._work_name = path, name
         return run
@@ -97,7 +98,7 @@ class LineRuns:
     def frequent(self) -> DataFrame:
         runs = self.runs()
         merged = runs[0] if len(runs) == 1 else self._merged(runs)
-        return merged.where(F.col("n") >= self.min_docs).select("h1", "h2")
+        return merged.where(F.col("n") >= self.min_docs)
 
     @staticmethod
     def _drop(runs: list[DataFrame]) -> None:
@@ -113,10 +114,12 @@ class LineRuns:
 def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id2, th2, gone): the positions of the lines that go, for each document that loses any."""
     lines = line_table(docs, batches, min_chars, id_col, text_col)
-    runs = LineRuns(min_docs)
+    runs = LineRuns(min_docs, buckets=max(8, lines.count() // BUCKET_LINES))
     for batch in range(batches):
         runs.add(lines.where(F.col("batch") == batch))
-    hit = lines.join(runs.frequent(), ["h1", "h2"], "left_semi")
+    # one row per key: the join is a semi-join, and a line of very many documents is settled where it lies
+    frequent = work_table(runs.frequent().select("h1", F.col("h2").alias("other"), F.col("n").alias("c")), "lines-frequent")
+    hit = hub_join(lines, frequent, "h1").where(F.col("h2") == F.col("other"))
     gone = work_table(hit.groupBy(F.col("id").alias("id2"), F.col("th").alias("th2")).agg(F.collect_set("pos").alias("gone")), "lines-gone")
     runs.close()
     drop_work(lines)
