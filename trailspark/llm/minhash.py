@@ -9,9 +9,10 @@ From keys to links, without all pairs of a group:
 1. Rows with equal sets are one class (copies are never paired). Classes that share no band of one collection, or
    none of the other, can share no table and are left out before the tables' keys are made.
 2. Each table bucket pairs its members with its smallest one only; these pairs are verified on the full sets.
-3. Buckets that still hold several components: in small ones (``SMALL``) members of different components are
-   compared; the members of larger ones are compared where they share a token of their prefix under rarest-first
-   order, which misses no pair at the threshold. Pairs already in one component are not compared again.
+3. Buckets that still hold several components: those members outside the largest component are compared with all
+   of other components, if they are ``SMALL`` or fewer, so that the comparisons stay in proportion to the bucket; else
+   members are compared where they share a token of their prefix in one order of all tokens, which misses no pair at the
+   threshold. Pairs already in one component are not compared again.
 Verification moves a class's set once per pair, in groups of ``GROUP`` around a pivot, streamed. Before that, a pair
 is ruled out where sizes or parity bitmaps alone show that it cannot reach the threshold: every bit in which the
 bitmaps differ is a shingle that only one of the sets has.
@@ -27,7 +28,7 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import boxed, column, drop_work, hub_join, parts_of, text_hash, tidy, unboxed, work_table
@@ -38,6 +39,8 @@ WORDS, M, K = 5, 10, 3
 SMALL, GROUP, MEMORY, PART_BYTES = 16, 256, 200_000, 1 << 20
 #: Holders of a token that are compared in one task; a token with more is split into pairs of such blocks.
 TOKEN_BLOCK = 256
+#: Slots by which tokens are ordered, and nodes whose tokens are counted for that.
+SLOTS, ORDER_NODES = 1 << 14, 20_000
 #: Parity bitmaps of 256 bits, as columns of 64.
 BITS = ("b0", "b1", "b2", "b3")
 #: Up to so many candidate classes (16 bytes each) are broadcast to pick their texts; more are joined by shuffle.
@@ -233,31 +236,53 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(_like(percent, "n", "m") & _differ(percent, "n", "m")).select("u", "v")
 
 
+def _common_slots(sets: DataFrame, nodes: int) -> np.ndarray:
+    """How often tokens fall into each of SLOTS, over ORDER_NODES of the nodes at most: it only decides which tokens make prefixes, so what is found does not depend on it."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for one in batch.column(0):
+                total += np.bincount((np.frombuffer(one.as_buffer(), dtype=np.int64) & (SLOTS - 1)), minlength=SLOTS)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    unit = F.pmod(F.xxhash64(F.lit("order"), "node"), F.lit(1 << 20)) / float(1 << 20)
+    sample = work_table(sets.where(unit < min(1.0, ORDER_NODES / max(nodes, 1))).select("set"), "order")
+    rows = sample.mapInArrow(count, "total binary").collect()
+    drop_work(sample)
+    return sum((np.frombuffer(r["total"], dtype=np.int64) for r in rows), np.zeros(SLOTS, dtype=np.int64))
+
+
 def _prefix_pairs(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of hot nodes (node, root) in different components that share a token of both prefixes."""
+    """Pairs (u, v) of hot nodes (node, root) in different components that share a token of both prefixes.
 
-    def tokens(batches):
+    In any one order of all tokens, sets that are similar enough share one of their first n - ceil(percent n) + 1; here
+    tokens from rarer slots come first.
+    """
+    marked = work_table(sets.join(hot.withColumnRenamed("node", "node2"), F.col("node") == F.col("node2")).select("node", "n", "root", *BITS, "set"), "marked")
+    common = _common_slots(marked, hot.count())
+
+    def prefixes(batches):
         import pyarrow as pa
 
         for whole in batches:
-            for i in range(whole.num_rows):
-                mine = whole.column(2)[i].as_py()
-                mine = np.frombuffer(mine, dtype=np.int64)
-                take = pa.array(np.zeros(len(mine), dtype=np.int32))
-                one = whole.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([one.column(0).take(take), one.column(1).take(take), pa.array(mine)], ["node", "n", "t"])
-
-    all_tokens = work_table(sets.join(hot.select("node"), "node", "left_semi").select("node", "n", "set").mapInArrow(tokens, "node binary, n long, t long"), "tokens")
-    often = all_tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f")).withColumnRenamed("t", "t2")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("f", "t"))
-    # a set of n keeps its n - ceil(.85 n) + 1 rarest tokens
-    with_often = work_table(all_tokens.join(often, F.col("t") == F.col("t2")).select("node", "n", "t", "f"), "tokens")
-    drop_work(all_tokens)
-    # those that nobody else holds come first, and no pair can share them
-    ranked = with_often.withColumn("pos", rank - 1).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).where("f > 1")
-    marked = hot.join(sets.select("node", *BITS), "node")
-    held = work_table(ranked.join(marked, "node").select("t", "f", "node", "n", "root", "pos", *BITS), "prefixes")
-    drop_work(with_often)
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                rows, tokens, places = [], [], []
+                for i, one in enumerate(batch.column(7)):
+                    mine = np.frombuffer(one.as_buffer(), dtype=np.int64)
+                    k = len(mine) + percent * len(mine) // -100 + 1
+                    first = np.lexsort((mine, common[mine & (SLOTS - 1)]))[:k]
+                    rows.append(np.full(k, i))
+                    tokens.append(mine[first])
+                    places.append(np.arange(k))
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(places)), *(batch.column(c).take(take) for c in range(7))], ["t", "pos", "node", "n", "root", *BITS])
+
+    held = work_table(marked.mapInArrow(prefixes, "t long, pos long, node binary, n long, root binary, " + ", ".join(f"{b} long" for b in BITS)), "prefixes")
+    drop_work(marked)
     split = held.groupBy("t").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("h")).where("r1 <> r2")
     # the holders of a token are dealt into blocks, and pairs of blocks are compared, each in its own group
     blocks = F.ceil(F.col("h") / TOKEN_BLOCK).cast("int")
@@ -294,11 +319,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = members.join(roots, F.col("node") == F.col("node2"), "left").select("key", "node", "n", "size", F.coalesce("root", "node").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
     still = work_table(rooted.join(open_keys, "key", "left_semi"), "open")
-    small = still.where(F.col("size") <= SMALL)
-    other = small.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("root2"))
-    more = small.join(other, "key").where((F.col("node") < F.col("v")) & (F.col("root") != F.col("root2")) & _like(percent, "n", "m")).select(F.col("node").alias("u"), "v")
-    more = _plausible(more.distinct(), sets, percent)
-    hot = work_table(still.where(F.col("size") > SMALL).select("node", "root").distinct(), "hot")
+    # all members are compared with those outside the bucket's largest component, where these are few
+    parts = still.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("most"))
+    parts = work_table(parts.select(F.col("key").alias("key2"), F.col("most.root").alias("main"), (F.col("all") - F.col("most.c")).alias("others")), "parts")
+    still_parts = still.join(parts, F.col("key") == F.col("key2")).drop("key2")
+    one = sets.select(F.col("node").alias("node3"), *BITS)
+    few = work_table(still_parts.where(F.col("others") <= SMALL).join(one, F.col("node") == F.col("node3")).select("key", "node", "n", "root", (F.col("root") != F.col("main")).alias("apart"), *BITS), "few")
+    x = few.where("apart")
+    y = few.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("root2"), F.col("apart").alias("apart2"), *(F.col(c).alias(f"other_{c}") for c in BITS))
+    more = x.join(y, "key").where((F.col("root") != F.col("root2")) & (~F.col("apart2") | (F.col("node") < F.col("v"))) & _like(percent, "n", "m") & _differ(percent, "n", "m"))
+    more = more.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+    hot = work_table(still_parts.where(F.col("others") > SMALL).select("node", "root").distinct(), "hot")
     if not hot.isEmpty():
         more = more.union(_prefix_pairs(hot, sets, percent))
     more = more.distinct().join(pairs, ["u", "v"], "left_anti")
