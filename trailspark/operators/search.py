@@ -394,7 +394,7 @@ def find_code(ix: Index, starts: list[str], client: Client, beam: int = 3, steps
         for r in near:
             if r["dst"] not in seen:
                 p = got[r["src"]]
-                queue.append((3, -(p or 0.0), n, r["dst"], step + 1, r["src"], None))
+                queue.append((3, -(p or 0.0), n, r["dst"], step + 1, r["src"], p))
                 n += 1
     else:
         stop = "budget"

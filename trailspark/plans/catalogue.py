@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import judging, text
+from ..functions import judging, paths, text
 from ..operators import graph, intervals, judge, ranking, relate
 from ..sources import text as source
 from . import fixtures as fx
@@ -144,21 +144,7 @@ def scope_filter(spark, d):
 
 @query(f"with {_FILES} select file from files where regexp_matches(file, '^(?:src1[^/]*/[^/]*[05][.]en)$')")
 def glob_filter(spark, d):
-    return fx.files(spark, d).where(F.col("file").rlike(glob_pattern("src1*/*[05].en"))).select("file")
-
-
-def glob_pattern(glob: str) -> str:
-    """FP3: ** crosses folders, * and ? do not."""
-    out, i = "", 0
-    while i < len(glob):
-        if glob.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif glob[i] == "[":
-            end = glob.index("]", i)
-            out, i = out + glob[i : end + 1], end + 1
-        else:
-            out, i = out + {"*": "[^/]*", "?": "[^/]", ".": "[.]"}.get(glob[i], glob[i]), i + 1
-    return f"^(?:{out})$"
+    return fx.files(spark, d).where(paths.matches("src1*/*[05].en", F.col("file"))).select("file")
 
 
 @query("select source as folder, count(*) as n from documents group by 1")
