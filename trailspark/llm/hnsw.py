@@ -8,7 +8,7 @@ shard; until ``AUDIT`` of the links are found, the block's beams are doubled, an
 replaced by brute force. Cosines are verified in double precision. A task sends each class's link count and a
 spanning forest of the links it found, never all pairs; components are united over the forests.
 
-There are at least ``SHARDS`` shards, and more once they would exceed ``SHARD_ROWS`` classes: from there on the
+There are at least ``SHARDS`` shards, and more once they would exceed ``SHARD_ROWS`` classes or ``SHARD_BYTES``: from there on the
 work grows with the number of shards, as every shard is queried.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are
@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from .common import work_table
 from .graph import components
 
-SHARDS, SHARD_ROWS, BLOCK = 6, 50_000, 8_000
+SHARDS, SHARD_ROWS, SHARD_BYTES, BLOCK = 6, 50_000, 100_000_000, 8_000
 LINKS, BUILD_BEAM, BEAM, BATCH = 12, 48, 32, 256
-AUDIT, AUDITED, MARGIN = 0.999, 64, 0.02
+#: An audit goes on until so many links to other vectors were sought, or so many queries were checked.
+AUDIT, AUDITED, MOST_AUDITED, MARGIN = 0.999, 64, 512, 0.02
 
 
 class Graph:
@@ -190,11 +191,23 @@ class Graph:
         return out
 
 
-def links_of(graph: Graph, q: np.ndarray, threshold: float) -> tuple[list[np.ndarray], float]:
-    """near() of a block, with beams widened until the audit passes; the recall that the last audit measured."""
-    beam, picked = BEAM, np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int)
-    truth = [set(np.flatnonzero(graph.x @ q[i] >= threshold).tolist()) for i in picked]
-    total = sum(map(len, truth))
+def links_of(graph: Graph, q: np.ndarray, threshold: float, own: np.ndarray | None = None) -> tuple[list[np.ndarray], float | None]:
+    """near() of a block, with beams widened until the audit passes; the recall that the last audit measured, None where it had no link to find.
+
+    own: each query's own place in the graph, or -1: that a vector finds itself proves nothing.
+    """
+    own = np.full(len(q), -1) if own is None else own
+    beam, order = BEAM, np.random.default_rng(11).permutation(len(q))[:MOST_AUDITED]
+    picked, truth, total = [], [], 0
+    for at in range(0, len(order), AUDITED):
+        for i in order[at : at + AUDITED].tolist():
+            near = np.flatnonzero(graph.x @ q[i] >= threshold)
+            picked.append(i)
+            truth.append(set(near[near != own[i]].tolist()))
+            total += len(truth[-1])
+        if total >= AUDITED:
+            break
+    picked = np.array(picked, dtype=int)
     while True:
         found: list[np.ndarray] = []
         if beam < len(graph.x):
@@ -207,7 +220,7 @@ def links_of(graph: Graph, q: np.ndarray, threshold: float) -> tuple[list[np.nda
             hit = total
         for i in range(0, len(q), BATCH):
             found += graph.near(q[i : i + BATCH], threshold, beam)
-        return found, hit / total if total else 1.0
+        return found, hit / total if total else None
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -247,6 +260,7 @@ def _build(key, rows):
     rows = rows.sort_values("node")
     x = _unit(np.frombuffer(b"".join(rows["raw"]), dtype=np.float64).reshape(len(rows), -1))
     graph = Graph(x)
+    graph.x = None  # made of x again where it is read
     blob = pickle.dumps((graph, x, rows["node"].tolist(), rows["copies"].to_numpy()), protocol=5)
     return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "graph": [blob]})
 
@@ -260,8 +274,10 @@ def _query_with(threshold: float):
             return empty
         graph, x, nodes, copies = pickle.loads(graphs["graph"].iloc[0])
         q = _unit(np.frombuffer(b"".join(queries["raw"]), dtype=np.float64).reshape(len(queries), -1))
-        found, recall = links_of(graph, q.astype(np.float32), threshold - 1e-4)
+        graph.x = np.ascontiguousarray(x, dtype=np.float32)
         names = queries["node"].tolist()
+        place = {node: i for i, node in enumerate(nodes)}
+        found, recall = links_of(graph, q.astype(np.float32), threshold - 1e-4, np.array([place.get(n, -1) for n in names]))
         parent: dict[bytes, bytes] = {}
 
         def root(a: bytes) -> bytes:
@@ -289,12 +305,12 @@ def _query_with(threshold: float):
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, shards: int = SHARDS) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row, and recall, the lowest that an audit of its class's blocks measured."""
+    """vec_id, n_links, component_id and kept of every row, and recall, the lowest that an audit of its class's blocks measured (null where none had a link to find)."""
     all_rows = work_table(keyed(vectors, id_col, vector_col), "vectors")
     classes = all_rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first_id"), F.first("dim").alias("dim"), F.first("raw").alias("raw"))
     classes = work_table(classes, "classes")
-    n = classes.count()
-    shards, blocks = max(shards, -(-n // SHARD_ROWS)), max(2, -(-n // BLOCK))
+    n, size = classes.agg(F.count(F.lit(1)), F.sum(F.octet_length("raw"))).first()
+    shards, blocks = max(shards, -(-n // SHARD_ROWS), -(-(size or 0) // SHARD_BYTES)), max(2, -(-n // BLOCK))
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
     graphs = work_table(dealt.groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, graph binary"), "graphs")
     queries = classes.select("node", "dim", "raw", F.pmod(F.xxhash64(F.lit("block"), "node"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
@@ -310,4 +326,4 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     owners = work_table(owners.join(classes.select(F.col("node").alias("node4"), "copies"), F.col("node") == F.col("node4")).select(F.col("node").alias("node5"), "component", (F.col("links") + F.col("copies") - 1).alias("links"), "recall"), "owners")
     out = all_rows.select("vec_id", "node").join(owners, F.col("node") == F.col("node5"), "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component"))
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"), F.coalesce("recall", F.lit(1.0)).alias("recall"))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"), "recall")
