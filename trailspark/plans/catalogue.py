@@ -136,12 +136,6 @@ def parse_placement(spark, d):
 _FILES = "files as (select source || '/' || doc_id || '.' || lang as file, doc_id, source, lang from documents)"
 
 
-@query(f"with {_FILES} select file, case when lang in ('fr', 'de') then 'language' when source = 'src0' then 'excluded' else null end as reason from files")
-def scope_filter(spark, d):
-    reason = F.when(F.col("lang").isin("fr", "de"), "language").when(F.col("source") == "src0", "excluded")
-    return fx.files(spark, d).select("file", reason.alias("reason"))
-
-
 @query(f"with {_FILES} select file from files where regexp_matches(file, '^(?:src1[^/]*/[^/]*[05][.]en)$')")
 def glob_filter(spark, d):
     return fx.files(spark, d).where(paths.matches("src1*/*[05].en", F.col("file"))).select("file")
@@ -275,11 +269,10 @@ def similar_jaccard(spark, d):
     return relate.similar(sets, F.col("id") == 1)
 
 
-@query(f"with {fx.LINKS}, t as (select distinct substr(spec, 2) as token from links), f as (select distinct split_part(split_part(substr(url, instr(url, '://') + 3), '?', 1), '#', 1) as path from pages) select token, path from t join f on (path = token or ends_with(path, '/' || token))")
+@query("with t as (select distinct doc_id || '.en' as token from labels), f as (select source || '/' || doc_id || '.' || lang as path from documents) select token, path from t join f on (path = token or ends_with(path, '/' || token))")
 def files_named_by_suffix(spark, d):
-    links = fx.links(spark, d).select(F.expr("substr(spec, 2)").alias("token")).distinct()
-    paths = fx.table(spark, d, "pages").select(F.regexp_extract("url", "://([^?#]*)", 1).alias("path")).distinct()
-    return relate.named_by_suffix(links, paths)
+    tokens = fx.table(spark, d, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit(".en")).alias("token")).distinct()
+    return relate.named_by_suffix(tokens, fx.files(spark, d).select(F.col("file").alias("path")))
 
 
 _VALUES = """held as (select doc_id as file, unnest(regexp_extract_all(text, '[0-9a-f]{16,}|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+')) as value from documents)"""

@@ -24,15 +24,11 @@ def value_key_order(spark, d):
     return ranking.best(docs, 50, [F.desc("n_chars"), F.col("sha"), F.col("doc_id")]).select("doc_id", "rank")
 
 
-@query(f"with {fx.LINKS} select count(*) as n_links, count(*) filter (where length(spec) > 6) as n_unresolved from links")
+@query(f"with {fx.LINKS}, scope as (select distinct '/' || lang as path from documents) select count(*) as n_links, count(*) filter (where spec not in (select path from scope)) as n_unresolved from links")
 def graph_unresolved(spark, d):
-    return fx.links(spark, d).agg(F.count(F.lit(1)).alias("n_links"), F.count_if(F.length("spec") > 6).alias("n_unresolved"))
-
-
-@query(f"with {fx.LINES} select a.file, a.line, count(b.line) as n_before from lines a left join lines b on a.file = b.file and b.line between a.line - 40 and a.line - 1 where contains(a.text, 'license') group by 1, 2")
-def lines_before_after(spark, d):
-    before = F.count(F.lit(1)).over(Window.partitionBy("file").orderBy("line").rowsBetween(-40, -1))
-    return fx.lines(spark, d).withColumn("n_before", before).where(F.contains("text", F.lit("license"))).select("file", "line", "n_before")
+    """AG10: links whose target is not in scope."""
+    scope = fx.table(spark, d, "documents").select(F.concat(F.lit("/"), "lang").alias("spec")).distinct().withColumn("held", F.lit(True))
+    return fx.links(spark, d).join(scope, "spec", "left").agg(F.count(F.lit(1)).alias("n_links"), F.count_if(F.col("held").isNull()).alias("n_unresolved"))
 
 
 @query(f"""with {fx.SPANS}, a as (select distinct file, line from ranks where event_type = (select min(event_type) from events)),
