@@ -198,7 +198,7 @@ def test_hnsw_exact(spark):
         assert (got[i]["n_links"], got[i]["component_id"]) == (degree[k], good[want[k]][0])
     for i in (2000, 2001, 2002, 2003, 2004):
         assert got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"]
-    assert min(r["recall"] for r in got.values()) >= 0.9
+    assert min(r["recall"] for r in got.values() if r["recall"] is not None) >= 0.9
     assert hnsw.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import work_table
+from .common import hub_join, work_table
 from .graph import components
 
 SHARDS, SHARD_ROWS, SHARD_BYTES, BLOCK = 6, 50_000, 100_000_000, 8_000
@@ -321,8 +321,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     roots = components(found.where("v is not null").select("u", "v")).withColumnRenamed("node", "node3")
     named = classes.select("node", "first_id").join(roots, F.col("node") == F.col("node3"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     named = work_table(named, "roots")
-    least = named.groupBy("root").agg(F.min("first_id").alias("component")).withColumnRenamed("root", "root2")
-    owners = named.join(least, F.col("root") == F.col("root2")).join(counts, F.col("node") == F.col("node2"))
+    least = work_table(named.groupBy("root").agg(F.min("first_id").alias("component"), F.count(F.lit(1)).alias("c")), "least")
+    owners = hub_join(named, least, "root").join(counts, F.col("node") == F.col("node2"))
     owners = work_table(owners.join(classes.select(F.col("node").alias("node4"), "copies"), F.col("node") == F.col("node4")).select(F.col("node").alias("node5"), "component", (F.col("links") + F.col("copies") - 1).alias("links"), "recall"), "owners")
     out = all_rows.select("vec_id", "node").join(owners, F.col("node") == F.col("node5"), "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component"))

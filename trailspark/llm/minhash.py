@@ -339,8 +339,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         drop_work(still)
         roots = work_table(components(known.union(late)), "roots").withColumnRenamed("node", "node2")
     named = classes.select("node", "doc_id").join(roots, F.col("node") == F.col("node2")).select("node", "root", "doc_id")
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component")).withColumnRenamed("root", "root2")
-    linked = work_table(named.join(least, F.col("root") == F.col("root2")).select(F.col("node").alias("node2"), "component"), "components")
+    named = work_table(named, "named")
+    least = work_table(named.groupBy("root").agg(F.min("doc_id").alias("component"), F.count(F.lit(1)).alias("c")), "least")
+    linked = work_table(hub_join(named, least, "root").select(F.col("node").alias("node2"), "component"), "components")
     owners = classes.select(F.col("node").alias("node3"), F.col("doc_id").alias("first_id")).join(linked, F.col("node3") == F.col("node2"), "left")
     owners = work_table(owners.select("node3", F.coalesce("component", "first_id").alias("component")), "owners")
     out = signed.select("doc_id", "n_shingles", "node", "text_hash").join(owners, F.col("node") == F.col("node3"), "left")
