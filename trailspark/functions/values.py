@@ -34,7 +34,7 @@ def identifier_words(text: Column) -> Column:
 def serialized_chars(text: Column) -> Column:
     """SF10: the length of a string as ASCII-escaped JSON."""
     more = lambda pattern, n: n * F.regexp_count(text, F.lit(pattern))
-    return F.length(text) + 2 + more(r'["\\\n\r\t\x08\f]', 1) + more(r"[\x00-\x07\x0b\x0e-\x1f]", 5) + more(r"[\x{80}-\x{ffff}]", 5) + more(r"[\x{10000}-\x{10ffff}]", 11)
+    return F.length(text) + 2 + more(r'["\\\n\r\t\x08\f]', 1) + more(r"[\x00-\x07\x0b\x0e-\x1f\x7f]", 5) + more(r"[\x{80}-\x{ffff}]", 5) + more(r"[\x{10000}-\x{10ffff}]", 11)
 
 
 def json_quoted(text: Column) -> Column:
@@ -48,7 +48,7 @@ def json_quoted(text: Column) -> Column:
         for plain, short in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
             out = out.when(c == plain, F.lit(short))
         pair = F.concat(unit(F.floor((n - 0x10000) / 0x400) + 0xD800), unit((n - 0x10000) % 0x400 + 0xDC00))
-        return out.when((n >= 32) & (n < 128), c).when(n < 0x10000, unit(n)).otherwise(pair)
+        return out.when((n >= 32) & (n < 127), c).when(n < 0x10000, unit(n)).otherwise(pair)
 
     return F.concat(F.lit('"'), F.array_join(F.transform(F.split(text, ""), escaped), ""), F.lit('"'))
 

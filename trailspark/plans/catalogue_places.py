@@ -206,7 +206,7 @@ def batch_query(spark, d):
     return rows.groupBy(F.col("l_suppkey").alias("f")).agg(F.array_join(F.array_sort(F.collect_set("p_brand")), " ").alias("query"))
 
 
-_ESCAPED = """2 + length(text) + len(regexp_extract_all(text, '["\\\\\\n\\r\\t\\x08\\f]')) + 5 * len(regexp_extract_all(text, '[\\x00-\\x07\\x0b\\x0e-\\x1f]')) + 5 * len(regexp_extract_all(text, '[\\x{80}-\\x{ffff}]')) + 11 * len(regexp_extract_all(text, '[\\x{10000}-\\x{10ffff}]'))"""
+_ESCAPED = """2 + length(text) + len(regexp_extract_all(text, '["\\\\\\n\\r\\t\\x08\\f]')) + 5 * len(regexp_extract_all(text, '[\\x00-\\x07\\x0b\\x0e-\\x1f\\x7f]')) + 5 * len(regexp_extract_all(text, '[\\x{80}-\\x{ffff}]')) + 11 * len(regexp_extract_all(text, '[\\x{10000}-\\x{10ffff}]'))"""
 
 
 @query(f"select doc_id, {_ESCAPED} as n, {_ESCAPED} + 6 <= 4000 and strlen(text) + 4 <= 3500 as fits from documents where text is not null")
