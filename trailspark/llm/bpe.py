@@ -43,18 +43,24 @@ def default_path() -> str:
 
 
 @functools.cache
-def unassigned() -> re.Pattern:
-    """A character without a category in Python's Unicode tables."""
+def _unassigned_below() -> re.Pattern:
+    """A character of the basic plane without a category in Python's Unicode tables (a set of this plane is one table to look up)."""
     ranges, begin = [], None
-    for c in range(0x110000):
-        if (unicodedata.category(chr(c)) == "Cn") != (begin is not None):
+    for c in range(0x10001):
+        if (c < 0x10000 and unicodedata.category(chr(c)) == "Cn") != (begin is not None):
             if begin is None:
                 begin = c
             else:
                 ranges.append((begin, c - 1))
                 begin = None
-    ranges += [(begin, 0x10FFFF)] if begin is not None else []
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+    return re.compile("[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges) + "]")
+
+
+_ABOVE = re.compile("[\U00010000-\U0010ffff]")
+
+
+def has_unassigned(text: str) -> bool:
+    return not text.isascii() and (_unassigned_below().search(text) is not None or any(unicodedata.category(c) == "Cn" for c in _ABOVE.findall(text)))
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -178,7 +184,7 @@ class Encoder:
         self.marks = {s: (str(i), 1, s.encode()) for s, i in self.bpe.special.items()}
 
     def _pretokens(self, text: str) -> list[str]:
-        if text.isascii() or not unassigned().search(text):
+        if not has_unassigned(text):
             return SPLIT.findall(text)
         if self.library is None:
             from tokenizers import Tokenizer
@@ -249,7 +255,7 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rows += [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) for n, ids, text in enc.encode(texts[a:b])]
             n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        tidy(enc.known.clear)
+        tidy()
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
