@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from trailspark.plans import catalogue
+from trailspark.plans import catalogue, catalogue_more, catalogue_places, catalogue_questions  # noqa: F401  the others add to the queries
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

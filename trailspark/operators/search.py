@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import mentions, paths, text
 from ..plans.state import cut
 from ..sources import code as code_facts
+from ..sources import script
 from ..sources import text as source
 from . import graph, ranking
 from .judge import Client, ask, round_robin
@@ -36,11 +37,12 @@ class Index:
 
     @classmethod
     def of(cls, files: DataFrame) -> Index:
-        """SC1/JD21: every file once; Python files by their outermost definitions, others by blocks or pieces of 60 lines."""
+        """SC1/JD21: every file once; Python files and scripts by their outermost definitions, others by blocks or pieces of 60 lines."""
         files = cut(files.select("path", "text").dropDuplicates(["path"]))
         lines = source.lines(files, "path")
         parsed = files.where(paths.language_of(F.col("path")) == "python")
-        facts = cut(source.python_facts(parsed))
+        scripts = files.where(paths.language_of(F.col("path")).isin("javascript", "typescript", "tsx"))
+        facts = cut(source.python_facts(parsed).unionByName(script.script_facts(scripts)))
         defs = facts.where("kind in ('function', 'class')")
         o = defs.select(F.col("path").alias("path2"), F.col("start").alias("os"), F.col("end").alias("oe"))
         held = (F.col("path") == F.col("path2")) & (F.col("os") <= F.col("start")) & (F.col("oe") >= F.col("end")) & (F.col("oe") - F.col("os") > F.col("end") - F.col("start"))
@@ -69,7 +71,11 @@ class Index:
 def import_links(files: DataFrame, facts: DataFrame) -> DataFrame:
     """JN11/JN12: (src, spec, target): import edges; target is null outside the index."""
     wanted = facts.where("kind = 'import'").select(F.col("path").alias("src"), F.col("name").alias("spec"))
-    each = wanted.select("src", "spec", F.posexplode(code_facts.import_candidates("spec", "src")).alias("priority", "path"))
+    scripts = files.where(paths.language_of(F.col("path")).isin("javascript", "typescript", "tsx"))
+    named = code_facts.script_imports(scripts).select(F.col("path").alias("src"), "spec")
+    candidates = F.posexplode(script.import_candidates(F.col("spec"), F.col("src"))).alias("priority", "path")
+    each = wanted.select("src", "spec", F.posexplode(code_facts.import_candidates("spec", "src")).alias("priority", "path")).unionByName(named.select("src", "spec", candidates))
+    wanted = wanted.unionByName(named)
     hit = each.join(files.select("path"), "path", "left_semi").groupBy("src", "spec").agg(F.min_by("path", "priority").alias("target"))
     return wanted.distinct().join(hit, ["src", "spec"], "left")
 
