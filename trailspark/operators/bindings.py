@@ -26,7 +26,7 @@ def exporters(wanted: DataFrame, reexports: DataFrame) -> DataFrame:
         frontier = cut(ahead.join(reached, ["target", "name", "path", "proven"], "left_anti"))
         if frontier.isEmpty():
             break
-        reached = cut(reached.unionByName(frontier))
+        reached = reached.unionByName(frontier)  # tables of the rounds; none is written twice
     return reached.groupBy("target", "name", "path").agg(F.max("proven").alias("proven"))
 
 

@@ -106,8 +106,8 @@ _SOLD = "sold as (select distinct l_partkey as name, l_suppkey as file, l_return
  given as (select l_suppkey as file, l_orderkey as line, l_partkey as name, min(l_returnflag) as state from lineitem where l_discount = 0.1 group by 1, 2, 3),
  loc as (select l_suppkey as file, l_partkey as name, min(l_orderkey) as first, max(l_orderkey) as last from lineitem where l_tax = 0.08 group by 1, 2),
  imp as (select file, name, lead(file) over (partition by name order by file) as target from (select distinct file, name from sold)),
- re as (select file as path, name, lead(file) over (partition by name order by file) as next, flag <> 'N' as link from (select file, name, min(flag) as flag from sold group by 1, 2)),
- rx as (select path, name, next, link from re where next is not null union all select file, null, next, true from nx where s_acctbal < 0 and next <> file),
+ re as (select l_suppkey as path, l_partkey as name, lead(l_suppkey) over (partition by l_partkey order by l_suppkey) as next, min(l_linestatus) = 'F' as link, min(l_returnflag) as flag from lineitem group by 1, 2),
+ rx as (select path, name, next, link from re where next is not null and flag = 'R' union all select file, null, next, true from nx where s_acctbal < 0 and next <> file),
  bad as (select file from nx where s_acctbal < -900), own as (select distinct file, name from defs),
  v as (select u.*, given.state as gs, case when given.state is not null then 'resolver' when loc.file is not null and receiver is null then 'local' when receiver = 'A' and nx.next is not null then 'module'
    when loc.file is null and receiver is null and imp.target is not null and own.file is null then 'import' else 'facts' end as via,
@@ -124,7 +124,7 @@ _SOLD = "sold as (select distinct l_partkey as name, l_suppkey as file, l_return
    case when via in ('module', 'import') and n_defs = 1 and sure and not hides then only_in when via = 'facts' and da.n is not null and v.receiver is null and ds.n = 1 then v.file end as defined_in
  from v left join led on led.target = v.target and led.name = v.name and via in ('module', 'import') left join da on da.name = v.name left join ds on ds.name = v.name and ds.file = v.file""")
 def module_bindings(spark, d):
-    """JN9/JN10/GR7: uses of parts by suppliers; re-exports lead to a part's next supplier, or to the next of the nation and round again."""
+    """JN9/JN10/GR7: uses of parts by suppliers; a supplier whose sales of a part were all returned passes it on to the part's next one, one in debt passes on all to the next of the nation and round again."""
     li, definitions = fx.table(spark, d, "lineitem"), _code(spark, d)[2].withColumn("name", F.col("name").cast("string"))
     own = [F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("line"), F.col("l_partkey").cast("string").alias("name")]
     uses = li.where("l_linenumber <= 3").select(*own, F.expr("case when l_linestatus = 'F' then l_returnflag end").alias("receiver"))
@@ -134,9 +134,9 @@ def module_bindings(spark, d):
     first = F.first("s_suppkey").over(in_nation.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     after = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("file"), F.coalesce(F.lead("s_suppkey").over(in_nation), first).alias("next"), "s_acctbal")
     following = F.lead("file").over(Window.partitionBy("name").orderBy("file"))
-    sold = li.groupBy(own[0], own[2]).agg(F.min("l_returnflag").alias("flag")).withColumn("next", following)
+    sold = li.groupBy(own[0], own[2]).agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status")).withColumn("next", following)
     imported = sold.select("file", "name", F.col("next").alias("target"), F.col("name").alias("exported"))
-    named = sold.where("next is not null").select(F.col("file").alias("path"), "name", "next", (F.col("flag") != "N").alias("proven"))
+    named = sold.where("next is not null and flag = 'R'").select(F.col("file").alias("path"), "name", "next", (F.col("status") == "F").alias("proven"))
     stars = after.where("s_acctbal < 0 and next <> file").select(F.col("file").alias("path"), F.lit(None).cast("string").alias("name"), "next", F.lit(True).alias("proven"))
     aliases = after.select("file", F.lit("A").alias("receiver"), F.col("next").alias("target"))
     unparsed = after.where("s_acctbal < -900").select("file")
