@@ -202,6 +202,42 @@ def test_hnsw_exact(spark):
     assert hnsw.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def grouped_vectors(n, groups, size, dim=32):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, dim))
+    x[: groups * size] = np.repeat(rng.normal(size=(groups, dim)), size, axis=0) + 0.25 * rng.normal(size=(groups * size, dim))
+    x = np.concatenate([x, x[:20]])
+    return np.float32(x).astype(float) / np.where(np.arange(len(x)) % 3, 1, 3)[:, None]  # two in three rows are exact in single precision
+
+
+def test_hnsw_cells_bound_what_meets(spark, monkeypatch, tmp_path):
+    """No task's group grows with the table, in rows or in bytes; all links are found across cells, chunks, blocks and waves."""
+    x = grouped_vectors(1500, 30, 12)
+    made = hnsw._compare
+
+    def told(threshold):
+        compare, folder = made(threshold), str(tmp_path)
+
+        def run(key, residents, visitors):
+            with open(f"{folder}/{'-'.join(map(str, key))}", "a") as f:
+                f.write(f"{len(residents)} {len(visitors)}\n")
+            return compare(key, residents, visitors)
+
+        return run
+
+    for name, value in {"CELL": 60, "CHUNK_BYTES": 40 * 8 * 32, "BLOCK_BYTES": 80 * 8 * 32, "WAVE_BYTES": 400_000, "AUDIT": 1.0, "_compare": told}.items():
+        monkeypatch.setattr(hnsw, name, value)
+    got = {r["vec_id"]: r for r in hnsw.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.9
+    np.fill_diagonal(links, False)
+    want = closure(len(x), zip(*(c.tolist() for c in np.nonzero(links)), strict=True))
+    assert links.sum() > 3000 and len(got) == len(x)
+    assert [(got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) for i in range(len(x))] == [(int(links[i].sum()), want[i], want[i] == i) for i in range(len(x))]
+    met = np.array([line.split() for f in tmp_path.iterdir() for line in f.read_text().splitlines()], dtype=int)
+    assert met[:, 0].max() <= 80 and met[:, 1].max() <= 160  # dealt by hash: twice the limit at most
+
+
 def test_pipeline_stages(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     draw = random.Random(9)
