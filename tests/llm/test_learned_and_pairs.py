@@ -238,6 +238,32 @@ def test_hnsw_cells_bound_what_meets(spark, monkeypatch, tmp_path):
     assert met[:, 0].max() <= 80 and met[:, 1].max() <= 160  # dealt by hash: twice the limit at most
 
 
+def test_hnsw_work_grows_with_the_rows(spark, monkeypatch, tmp_path):
+    """Four times the rows are compared in well under sixteen times the pairs."""
+    made, pairs = hnsw._compare, []
+
+    def told(threshold):
+        compare, folder = made(threshold), str(tmp_path)
+
+        def run(key, residents, visitors):
+            with open(f"{folder}/{n}-{'-'.join(map(str, key))}", "a") as f:
+                f.write(f"{len(residents) * len(visitors)}\n")
+            return compare(key, residents, visitors)
+
+        return run
+
+    monkeypatch.setattr(hnsw, "CELL", 50)
+    monkeypatch.setattr(hnsw, "_compare", told)
+    for n in (500, 2000):
+        x = grouped_vectors(n, n // 50, 10)
+        links = sum(r["n_links"] for r in hnsw.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).select("n_links").collect())
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        want = int((unit @ unit.T >= 0.9).sum()) - len(x)
+        assert 0.98 * want <= links <= want
+        pairs.append(sum(int(line) for f in tmp_path.glob(f"{n}-*") for line in f.read_text().splitlines()))
+    assert pairs[1] < 8 * pairs[0] and pairs[1] < 2000**2 / 3
+
+
 def test_pipeline_stages(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     draw = random.Random(9)
