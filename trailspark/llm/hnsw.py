@@ -34,8 +34,8 @@ from .graph import components
 
 #: CELL classes to a cell, or sqrt(classes / SPREAD) where that is more; all samples together have SAMPLE_BYTES at most.
 CELL, SPREAD, SAMPLE_BYTES = 1_000, 10, 32_000_000
-CHUNK_BYTES, BLOCK_BYTES, WAVE_BYTES = 8_000_000, 16_000_000, 1_000_000_000
-AUDIT, AUDITED, MADE, STEP = 0.999, 1_024, 0.95, 0.002
+CHUNK_BYTES, BLOCK_BYTES, WAVE_BYTES = 8_000_000, 16_000_000, 100_000_000
+AUDIT, AUDITED, MADE, STEP = 0.9999, 1_024, 0.95, 0.002
 #: Similarities that are computed at once.
 AT_ONCE = 2_000_000
 
@@ -344,6 +344,7 @@ def _meet(routed: DataFrame, threshold: float) -> DataFrame:
         key = ["dim", "cell", "chunk", "block"]
         parts.append(work_table(lying.groupBy(*key).cogroup(guests.groupBy(*key)).applyInPandas(_compare(threshold), "u binary, v binary, links long"), "found"))
         if waves > 1:  # a wave's shuffle files go once nothing in the driver refers to them
+            del lying, guests
             gc.collect()
             spark._jvm.System.gc()
     out = parts[0]
