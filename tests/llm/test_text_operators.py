@@ -1,8 +1,11 @@
 """Line dedup, BPE, media, packing, PII and token counts against brute force, with the edge cases of their docstrings."""
 
 import hashlib
+import os
 import re
 import struct
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -270,6 +273,48 @@ def test_packing_edges_of_encoding():
     assert [ids[e - n : e].tolist() for e, n in zip(ends, lengths.tolist(), strict=True)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts[3:]]
 
 
+#: Prints by how many MB a worker grows at most while it encodes a task's 14 MB, and cuts its ids for 128 queues.
+GROWTH = """
+import random, resource, types
+import numpy as np, pyarrow as pa, pyspark
+from trailspark.llm import packing
+from trailspark.llm.common import tidy
+
+draw = random.Random(0)
+words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(200_000)]
+texts = [" ".join(draw.choices(words, k=500)) for _ in range(4_300)]
+batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(["s"] * len(texts))], ["doc_id", "text", "source"])
+del texts, words
+pyspark.TaskContext.get = staticmethod(lambda: types.SimpleNamespace(partitionId=lambda: 0))
+field = types.SimpleNamespace(dataType=types.SimpleNamespace(simpleString=lambda: "long"))
+encode = packing._encoded(types.SimpleNamespace(schema=[field], mapInArrow=lambda run, schema: run), None, 1)
+place, _ = packing._placed(packing.Schedule([30_000_000] * 128, [1 / 128] * 128), "long")
+for _ in encode([batch.slice(0, 1)]):  # loads the tokenizer
+    pass
+n = 8_000
+tokens = np.random.default_rng(0).integers(200, 2_000, n)
+ends = np.random.default_rng(1).integers(2_000, 30_000_000, n)
+ids = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([b"\\0" * 4 * int(t) for t in tokens]), pa.array(np.arange(n) % 128), pa.array(ends), pa.array(tokens)], ["doc_id", "ids", "queue", "end", "doc_tokens"])
+for name, run, given in ("encode", encode, batch), ("place", place, ids):
+    tidy()
+    open("/proc/self/clear_refs", "w").write("5")  # the peak counts from here
+    value = lambda key: int(next(x for x in open("/proc/self/status") if x.startswith(key)).split()[1]) // 1024
+    before, rows = value("VmRSS"), 0
+    for out in run([given]):
+        rows += out.num_rows
+    print(name, value("VmHWM") - before, rows)
+"""
+
+
+def test_packing_memory():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = os.environ | {"PYTHONPATH": root, "RAYON_NUM_THREADS": "1", "TOKENIZERS_PARALLELISM": "false", "OMP_NUM_THREADS": "1"}
+    done = subprocess.run([sys.executable, "-c", GROWTH], env=env, capture_output=True, text=True, timeout=120)
+    got = {x.split()[0]: list(map(int, x.split()[1:])) for x in done.stdout.splitlines()}
+    assert got["encode"][1] == 4_300 and got["encode"][0] < 100, done.stdout + done.stderr
+    assert got["place"][1] > 8_000 and got["place"][0] < 150, done.stdout + done.stderr
+
+
 def test_media(docs, empty):
     want = {}
     for r in EDGES:
