@@ -53,6 +53,14 @@ def test_url_rules(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_rules_say_what_the_contract_says(spark):
+    from pyspark.sql import functions as F
+
+    urls = {"http://a.com/en/": "block", "http://b.net/de/8": "allow", "://net/de/": "allow", "https://EXAMPLE.com/en/75": "allow", "http://q.example.net/de/81": "block", "http://q.example.net/de/7": "allow", "http://x.org/es/": "block"}
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r["url"]: r["says"] for r in pages.select("url", url_filter.rule_of(*url_filter.host_and_path(F.col("url")))[1].alias("says")).collect()} == urls
+
+
 def test_url_trees_learn(spark):
     draw = random.Random(5)
     rows = [(f"http://h{i}.example.org/" + ("".join(draw.choices("abcdefghij", k=8)) if i % 2 else "".join(draw.choices("0123456789", k=8))), i % 2) for i in range(400)]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, column, drop_work, free, unboxed, work_table
 
 #: (verdict, host and path); the longest that fits wins.
-RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 MAX_LABELLED, BINS, TREES, DEPTH, RATE, RIDGE = 20_000, 12, 12, 3, 0.3, 1.0
 HOT = 10_000
 FEATURES = ("url_length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "digits", "entropy", "parameters", "hyphens", "suffix_rate", "suffix_seen")
