@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from ..plans.state import cut
 
 
+#: Rows dealt to one task. Adaptive partitions are sized by compressed bytes; rows of small keys are many times larger in memory.
+ROWS_A_TASK = 500_000
+
+
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """rows by keys in partitions of about ROWS_A_TASK of their n rows, so that a task's memory does not grow with the table."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_A_TASK)), *keys)
+
+
 def postings(units: DataFrame, tokens: Column) -> DataFrame:
     """(doc, term, tf)."""
     return units.select("doc", F.explode(tokens).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))

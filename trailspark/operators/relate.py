@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import best
+from ..plans.state import cut
+from .ranking import best, dealt
 
 
 def newest(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
@@ -21,10 +22,14 @@ def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def co_changed(commits: DataFrame, n_newest: int = 200, limit: int = 5) -> DataFrame:
     """JN13: files (path) that share one's newest commits, most often first, ties by path."""
-    recent = newest(commits, "path", [F.desc("seq"), F.desc("commit")], n_newest)
-    other = commits.select("commit", F.col("path").alias("other"))
-    pairs = recent.join(other, "commit").where("path <> other").groupBy("path", "other").agg(F.count(F.lit(1)).alias("n"))
-    return best(pairs, limit, [F.desc("n"), F.col("other")], ["path"])
+    commits = cut(commits)
+    sizes = commits.groupBy("commit").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1))).first()  # rows, and pairs at most
+    n, most = (x or 0 for x in sizes)
+    recent = newest(dealt(commits, n, "path"), "path", [F.desc("seq"), F.desc("commit")], n_newest)
+    other = dealt(commits.select("commit", F.col("path").alias("other")), n, "commit")
+    pairs = dealt(recent, n, "commit").join(other, "commit").where("path <> other").select("path", "other")
+    counted = dealt(pairs, most, "path").groupBy("path", "other").agg(F.count(F.lit(1)).alias("n"))
+    return best(counted, limit, [F.desc("n"), F.col("other")], ["path"])
 
 
 def similar(sets: DataFrame, subject: Column, limit: int = 10) -> DataFrame:

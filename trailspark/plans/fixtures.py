@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import dealt
 from ..sources.text import lines as split_lines
 from .state import ship
 
@@ -39,7 +40,8 @@ def spans(spark, d) -> DataFrame:
 def commits(spark, d) -> DataFrame:
     """An order is a commit, its parts are the paths."""
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("seq"))
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("path")).distinct().join(orders, "commit")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("path"))
+    return dealt(rows, rows.count(), "commit").distinct().join(orders, "commit")
 
 
 def links(spark, d) -> DataFrame:
