@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +25,12 @@ def lines(files: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
 
 def search(rows: DataFrame, terms: list[str], whole_word: bool = False) -> DataFrame:
     """SC19: each line with each term that it holds; one pass over the lines, terms are a literal array."""
-    each = rows.select("*", F.explode(F.array(*[F.lit(t) for t in terms])).alias("term"))
-    if whole_word:
-        return each.where(F.regexp_like("text", F.concat(F.lit(r"(^|[^A-Za-z0-9_])"), F.col("term"), F.lit(r"($|[^A-Za-z0-9_])"))))
-    return each.where(F.contains("text", F.col("term")))
+    held = lambda t: F.contains("text", F.lit(t))
+    # A literal pattern is compiled once; a word without signs must be held before its pattern can fit.
+    word = lambda t: F.regexp_like("text", F.lit(f"(^|[^A-Za-z0-9_]){t}($|[^A-Za-z0-9_])"))
+    whole = lambda t: held(t) & word(t) if re.fullmatch("[A-Za-z0-9_]+", t) else word(t)
+    fits = whole if whole_word else held
+    return rows.select("*", F.explode(F.array_compact(F.array(*[F.when(fits(t), F.lit(t)) for t in terms]))).alias("term"))
 
 
 FACT_SCHEMA = "path string, kind string, name string, start int, end int, receiver string"
