@@ -39,18 +39,19 @@ def serialized_chars(text: Column) -> Column:
 
 def json_quoted(text: Column) -> Column:
     """A string as ASCII-escaped JSON."""
-    code = F.ascii  # of a character: its code point
     unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+    short = text
+    for plain, mark in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+        short = F.replace(short, F.lit(plain), F.lit(mark))
 
-    def escaped(c: Column) -> Column:
-        n = code(c).cast("long")
-        out = F.when(c == "", c).when(c.isin('"', "\\"), F.concat(F.lit("\\"), c))
-        for plain, short in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
-            out = out.when(c == plain, F.lit(short))
+    def escaped(run: Column) -> Column:
+        """Of printable characters, which stay, or of one other."""
+        n = F.ascii(run).cast("long")  # the code point of the first
         pair = F.concat(unit(F.floor((n - 0x10000) / 0x400) + 0xD800), unit((n - 0x10000) % 0x400 + 0xDC00))
-        return out.when((n >= 32) & (n < 127), c).when(n < 0x10000, unit(n)).otherwise(pair)
+        return F.when((n >= 32) & (n < 127), run).when(n < 0x10000, unit(n)).otherwise(pair)
 
-    return F.concat(F.lit('"'), F.array_join(F.transform(F.split(text, ""), escaped), ""), F.lit('"'))
+    runs = F.array_join(F.transform(F.regexp_extract_all(short, F.lit("[ -~]+|[^ -~]"), F.lit(0)), escaped), "")
+    return F.concat(F.lit('"'), F.when(short.rlike("[^ -~]"), runs).otherwise(short), F.lit('"'))
 
 
 def content_hash(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import bindings, questions
 from . import fixtures as fx
+from .state import cut
 from .catalogue import _MASKED, query
 from .catalogue_places import _ESCAPED, CODE, _code
 
@@ -32,11 +33,10 @@ def lengths(batch: int, ids: list[str]) -> list[float]:
 def asked_within_allowance(spark, d):
     """JD2/JD5: labels are what is stored; 200 requests may be sent."""
     docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("request"), F.coalesce("text", F.lit("")).alias("state"), F.col("lang").alias("question"))
-    masked = docs.withColumn("state", text.masked(F.col("state")))
-    sha = questions.values.request_sha256({"code": F.col("state")}, {"q": F.col("question")})
+    clean = cut(questions.identified(docs, text.masked).select("request", "sha"))  # each text is hashed once, and none is written
     labels = fx.table(spark, d, "labels").where("toxic is not null").select(F.col("doc_id").alias("request"), F.col("toxic").cast("double").alias("p"))
-    stored = masked.join(labels, "request").select(sha.alias("sha"), "p")
-    return questions.ask_all(docs, halves, stored, questions.Allowance(SENT), text.masked).select("request", "p", "source")
+    stored = clean.join(labels, "request").select("sha", "p")
+    return questions.ask_identified(clean, halves, stored, questions.Allowance(SENT)).select("request", "p", "source")
 
 
 _SHARES = """n as (select l_suppkey as request, l_returnflag as operation, l_linestatus as argument, count(*) as c from lineitem group by 1, 2, 3),
