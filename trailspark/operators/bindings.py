@@ -17,6 +17,7 @@ def exporters(wanted: DataFrame, reexports: DataFrame) -> DataFrame:
     """
     frontier = cut(wanted.select("target", "name", F.col("target").alias("path"), "proven").distinct())
     reached = frontier
+    reexports = cut(reexports)  # each round reads them
     named = reexports.where("name is not null").select("path", "name", "next", F.col("proven").alias("link"))
     whole = reexports.where("name is null").select("path", "next", F.col("proven").alias("link"))
     while True:
@@ -53,7 +54,7 @@ def bindings(uses: DataFrame, resolver: DataFrame, locals_: DataFrame, aliases:
     a name itself. aliases: (file, receiver, target), names that hold a whole module. imported: (file, name, target,
     exported), null target out of scope. A file's own definition goes before its import of the same name.
     """
-    uses = uses.dropDuplicates(["file", "line", "name", "receiver"])
+    uses, definitions, unparsed = uses.dropDuplicates(["file", "line", "name", "receiver"]), cut(definitions), cut(unparsed.select("file"))  # the latter are read several times
     given = resolver.select("file", "line", "name", F.struct("state", "defined_in", F.lit("resolver").alias("via")).alias("given")).dropDuplicates(["file", "line", "name"])
     looked_up = F.coalesce("receiver", "name")
     l = locals_.select(F.col("file").alias("lf"), F.col("name").alias("ln"), "first", "last")  # noqa: E741
